@@ -8,9 +8,9 @@ from aidlens import fixed
 
 def points(column: Column, table: dict[str, int]) -> Column:
     """Look a value up in a small weight table; anything else, also NULL, scores 0."""
-    expr = None
+    expr = F
     for value, weight in table.items():
-        expr = (expr or F).when(column == value, F.lit(weight))
+        expr = expr.when(column == value, F.lit(weight))
     return expr.otherwise(F.lit(0))
 
 

@@ -85,16 +85,16 @@ def thousands(number: Column) -> Column:
 
 
 def magnitude(value: Column) -> Column:
-    return F.format_string("M%.1f", F.bround(value, 1))
+    return F.when(value.isNotNull(), F.format_string("M%.1f", F.bround(value, 1)))
 
 
 def coordinate(value: Column) -> Column:
-    return F.format_string("%.5f", F.bround(value, 5))
+    return F.when(value.isNotNull(), F.format_string("%.5f", F.bround(value, 5)))
 
 
 # Named character references that occur in running text.
 ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&",
+    "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&",
 }
 
 

@@ -15,35 +15,37 @@ RANKED_TERMS = sorted(
 )
 
 
-def intent(question: Column) -> Column:
-    """``struct(domain, label, matched_terms)`` of a question, by substring match."""
-    folded = text.fold_case(question)
-    hits = F.array_compact(F.array(*[
-        F.when(folded.contains(term), F.struct(F.lit(domain).alias("domain"), F.lit(term).alias("term")))
-        for _, domain, term in RANKED_TERMS
-    ]))
-    best = F.get(hits, F.lit(0))["domain"]
-    matched = F.transform(F.filter(hits, lambda h: h["domain"] == best), lambda h: h["term"])
-    return F.struct(
-        F.coalesce(best, F.lit(fixed.NO_DOMAIN)).alias("domain"),
-        F.coalesce(F.replace(best, F.lit("_"), F.lit(" ")), F.lit(fixed.NO_DOMAIN_LABEL)).alias("label"),
-        F.when(best.isNull(), F.array().cast("array<string>")).otherwise(matched).alias("matched_terms"),
-    )
+def _once(rows: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that later filters and expressions reuse instead of computing them again.
+
+    A filter on an ordinary computed column is pushed below it together with a copy of its whole
+    expression; the output of a one-row generator stays where it is.
+    """
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def classify(questions: DataFrame, question: str = "text") -> DataFrame:
-    """Adds ``domain``, ``label`` and ``matched_terms``."""
-    return questions.withColumn("_intent", intent(F.col(question))).select(
-        *questions.columns, "_intent.domain", "_intent.label", "_intent.matched_terms"
-    )
+    """Adds ``domain``, ``label`` and ``matched_terms``, found by substring match."""
+    found = F.array_compact(F.array(*[
+        F.when(F.col("_folded").contains(term), F.struct(F.lit(domain).alias("domain"), F.lit(term).alias("term")))
+        for _, domain, term in RANKED_TERMS
+    ]))
+    hits = _once(_once(questions, _folded=text.fold_case(F.col(question))), _hits=found)
+    best = F.get("_hits", F.lit(0))["domain"]
+    own = F.filter("_hits", lambda h: h["domain"] == F.get("_hits", F.lit(0))["domain"])
+    return _once(
+        hits,
+        domain=F.coalesce(best, F.lit(fixed.NO_DOMAIN)),
+        label=F.coalesce(F.replace(best, F.lit("_"), F.lit(" ")), F.lit(fixed.NO_DOMAIN_LABEL)),
+        matched_terms=F.transform(own, lambda h: h["term"]),
+    ).drop("_folded", "_hits")
 
 
 # --- routing --------------------------------------------------------------
 
 
-def route(question: Column, domain: Column) -> Column:
-    """The answer route: an ordered cascade, the first rule that holds wins."""
-    q = F.lower(question)
+def route(q: Column, domain: Column) -> Column:
+    """The answer route: an ordered cascade over lower-case text, the first rule that holds wins."""
     return (
         F.when(domain == "earthquake", "earthquake")
         .when(text.contains_any(q, fixed.RESOURCE_WORDS), "resource")
@@ -58,9 +60,8 @@ def route(question: Column, domain: Column) -> Column:
     )
 
 
-def unconnected_domain(question: Column) -> Column:
+def unconnected_domain(q: Column) -> Column:
     """The field named by the answer of the ``domain_unconnected`` route."""
-    q = F.lower(question)
     return (
         F.when(text.contains_any(q, fixed.HEALTH_WORDS), fixed.HEALTH_LABEL)
         .when(text.contains_any(q, fixed.CONFLICT_WORDS), fixed.CONFLICT_LABEL)
@@ -79,13 +80,13 @@ def refresh_trigger(question: Column) -> Column:
 
 def answer_routes(questions: DataFrame, question: str = "text") -> DataFrame:
     """Adds the intent, ``route``, ``sub_domain`` and ``death_requested``."""
-    q = F.col(question)
-    classified = classify(questions, question)
-    routed = classified.withColumn("route", route(q, F.col("domain")))
-    return routed.withColumns({
-        "sub_domain": F.when(F.col("route") == "domain_unconnected", unconnected_domain(q)),
-        "death_requested": death_question(q),
-    })
+    lowered = _once(classify(questions, question), _q=F.lower(question))
+    routed = _once(lowered, route=route(F.col("_q"), F.col("domain")))
+    return _once(
+        routed,
+        sub_domain=F.when(F.col("route") == "domain_unconnected", unconnected_domain(F.col("_q"))),
+        death_requested=text.contains_any(F.col("_q"), fixed.CASUALTY_STEMS),
+    ).drop("_q")
 
 
 # --- conversations --------------------------------------------------------
