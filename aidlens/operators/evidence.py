@@ -31,25 +31,25 @@ def build_records(rows: DataFrame, fetched_at: str) -> DataFrame:
     return keyed.withColumns(defaults).select(*extra, *schemas.EVIDENCE.names)
 
 
-def first_per_record(batch: DataFrame, arrival: str = "seq") -> DataFrame:
-    """The first record of each id, by arrival.
+def first_per_record(batch: DataFrame, *arrival: str) -> DataFrame:
+    """The first record of each id, by arrival; equal arrivals are settled by content.
 
     The rank filter is applied inside every input partition before the shuffle, so an id with a
     huge number of copies sends one row per partition.
     """
-    first = W.partitionBy("record_id").orderBy(arrival)
+    first = W.partitionBy("record_id").orderBy(*arrival, F.xxhash64(*batch.columns))
     return batch.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def insert_new(batch: DataFrame, store: DataFrame, arrival: str = "seq") -> DataFrame:
+def insert_new(batch: DataFrame, store: DataFrame, *arrival: str) -> DataFrame:
     """The records of a batch the store does not hold yet, one per id."""
     known = store.select("record_id").distinct()
-    return first_per_record(batch, arrival).join(known, "record_id", "left_anti").select(*batch.columns)
+    return first_per_record(batch, *arrival).join(known, "record_id", "left_anti").select(*batch.columns)
 
 
-def merged(batch: DataFrame, store: DataFrame, arrival: str = "seq") -> DataFrame:
+def merged(batch: DataFrame, store: DataFrame, *arrival: str) -> DataFrame:
     """The store after the insert."""
-    return store.unionByName(insert_new(batch, store, arrival))
+    return store.unionByName(insert_new(batch, store, *arrival))
 
 
 def provenance(evidence: DataFrame) -> DataFrame:

@@ -426,4 +426,8 @@ ORACLES: dict[str, str] = {
     + "SELECT source, url, CASE WHEN n IS NULL THEN 'unavailable' ELSE 'ok' END AS status, cast(coalesce(n, 0) AS bigint) AS records FROM "
     "(SELECT 'src' || i AS source, 'https://example.org/src' || i AS url FROM range(21) t(i)) "
     "LEFT JOIN (SELECT source_name AS source, source_url AS url, count(*) AS n FROM evidence_in GROUP BY ALL) USING (source, url)",
+    # streams
+    "stream_evidence_ingest": _with("evidence_in", _records())
+    + "SELECT DISTINCT record_id, event_key, source_name, observed_at FROM records",
+    "stream_hazard_unique": _with("hazards") + HAZARD_ROWS,
 }

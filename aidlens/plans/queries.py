@@ -12,6 +12,7 @@ from aidlens.operators import events, evidence, feeds, graph, questions, reports
 from aidlens.plans.workload import table, view
 from aidlens.session import shared_folder
 from aidlens.sources import evidence_store
+from aidlens.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -166,13 +167,13 @@ def evidence_build(spark, sf_dir):
 
 @query
 def evidence_insert_new(spark, sf_dir):
-    new = evidence.insert_new(_incoming(spark, sf_dir), _store(spark, sf_dir))
+    new = evidence.insert_new(_incoming(spark, sf_dir), _store(spark, sf_dir), "seq")
     return new.select("seq", "record_id", "event_key", "source_name", "observed_at")
 
 
 @query
 def evidence_merged(spark, sf_dir):
-    after = evidence.merged(_incoming(spark, sf_dir), _store(spark, sf_dir))
+    after = evidence.merged(_incoming(spark, sf_dir), _store(spark, sf_dir), "seq")
     return after.select("seq", "record_id", "event_key", "source_tier")
 
 
@@ -550,3 +551,32 @@ def ingest_status(spark, sf_dir):
         F.col("source_name").alias("source"), F.col("source_url").alias("url")
     )
     return feeds.ingest_status(registry, landed)
+
+
+# --- streams --------------------------------------------------------------
+
+
+@query
+def stream_evidence_ingest(spark, sf_dir):
+    """Records landed as JSON lines, taken in by several micro-batches, each id stored once."""
+    folder = f"{shared_folder(spark)}/evidence-stream-{uuid.uuid4()}"
+    record = F.to_json(F.struct(*schemas.EVIDENCE.names), {"ignoreNullFields": "false"})
+    _incoming(spark, sf_dir).select(record.alias("value")).write.text(f"{folder}/landing")
+    lines = ingest.evidence_lines(spark, f"{folder}/landing", files_per_batch=16)
+    ingest.ingest_evidence(lines, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return evidence_store.read_store(spark, f"{folder}/store").select(
+        "record_id", "event_key", "source_name", "observed_at"
+    )
+
+
+@query
+def stream_hazard_unique(spark, sf_dir):
+    """Hazards landed twice, kept once. The watermark spans the whole table."""
+    folder = f"{shared_folder(spark)}/hazard-stream-{uuid.uuid4()}"
+    feed = _hazard_feed(spark, sf_dir)
+    for _ in range(2):
+        feed.write.mode("append").json(f"{folder}/landing")
+    hazards = ingest.hazard_files(spark, f"{folder}/landing", files_per_batch=1, document_per_file=False)
+    unique = ingest.unique_hazards(hazards, "60 days")
+    ingest.append_parquet(unique, f"{folder}/hazards", "hazards", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/hazards")

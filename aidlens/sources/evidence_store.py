@@ -66,14 +66,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.EVIDENCE)
 
 
-def append_new(batch: DataFrame, path: str, arrival: str = "observed_at") -> int:
+def append_new(batch: DataFrame, path: str, *arrival: str) -> int:
     """Append the records the table does not hold yet; returns how many.
 
+    Of several records with one id the first by ``arrival`` (by default the fetch time) counts.
     A repeated call adds nothing, also after a run that failed half-way. One writer at a time.
     """
     spark = batch.sparkSession
     seen = Observation()
-    new = evidence.insert_new(batch, read_store(spark, path), arrival)
+    new = evidence.insert_new(batch, read_store(spark, path), *(arrival or ("fetched_at",)))
     (
         new.select(*schemas.EVIDENCE.names)
         .observe(seen, F.count("*").alias("inserted"))

@@ -52,11 +52,13 @@ def recent_unique_evidence(records: DataFrame, within: str = "7 days") -> DataFr
     )
 
 
-def hazard_files(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
-    """Hazards from feature collections as they land."""
+def hazard_files(
+    spark: SparkSession, landing: str, files_per_batch: int = 1000, document_per_file: bool = True
+) -> DataFrame:
+    """Hazards from feature collections as they land, one per file or one per line."""
     feed = (
         spark.readStream.schema(schemas.HAZARD_FEED)
-        .option("multiLine", True)
+        .option("multiLine", document_per_file)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
     )
