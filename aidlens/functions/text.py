@@ -75,6 +75,12 @@ def title_case(label: Column) -> Column:
     return F.initcap(F.replace(label, F.lit("_"), F.lit(" ")))
 
 
+def is_json(value: Column) -> Column:
+    """True for exactly one JSON value; in brackets, so that text after it does not pass."""
+    in_list = F.json_array_length(F.concat(F.lit("["), value, F.lit("]")))
+    return F.coalesce(in_list == 1, F.lit(False))
+
+
 def shortened(text: Column, chars: int = fixed.TITLE_CHARS) -> Column:
     tail = F.when(F.length(text) > chars, F.lit("…")).otherwise(F.lit(""))
     return F.concat(F.left(text, F.lit(chars)), tail)

@@ -203,7 +203,7 @@ def alert_rows(alerts: DataFrame, observed_at: str) -> DataFrame:
 
 def raw_json_status(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Keeps the raw text where it parses and tells whether it did."""
-    parses = F.try_parse_json(F.col(payload)).isNotNull()
+    parses = text.is_json(F.col(payload))
     return payloads.withColumns({
         "status": F.when(parses, "ok").otherwise("unavailable"),
         payload: F.when(parses, F.col(payload)),

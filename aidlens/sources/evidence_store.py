@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from aidlens import schemas
+from aidlens.functions import text
 from aidlens.operators import evidence
 
 KNOWN = schemas.EVIDENCE_REQUIRED + list(schemas.EVIDENCE_DEFAULTS)
@@ -22,7 +23,7 @@ def parse_lines(lines: DataFrame, *keep: str) -> DataFrame:
     becomes NULL.
     """
     keys = F.json_object_keys("value")
-    whole = F.try_parse_json("value").isNotNull() & keys.isNotNull()
+    whole = text.is_json(F.col("value")) & keys.isNotNull()
     fits = (F.size(F.array_except(_names(schemas.EVIDENCE_REQUIRED), F.col("_keys"))) == 0) & (
         F.size(F.array_except(F.col("_keys"), _names(KNOWN))) == 0
     )
