@@ -46,9 +46,9 @@ def fold_case(text: Column) -> Column:
     return F.when(lowered.rlike("[" + "".join(FOLDED) + "]"), folded).otherwise(lowered)
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """True when any word is a substring of ``text``."""
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+def contains_any(text: str, words: Iterable[str]) -> Column:
+    """True when any word is a substring of the SQL expression ``text``."""
+    return F.expr(" OR ".join(f"contains({text}, '{w}')" for w in words))
 
 
 def display_value(value: Column, fallback: str = fixed.NOT_REPORTED) -> Column:

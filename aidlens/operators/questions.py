@@ -26,10 +26,11 @@ def _once(rows: DataFrame, **values: Column) -> DataFrame:
 
 def classify(questions: DataFrame, question: str = "text") -> DataFrame:
     """Adds ``domain``, ``label`` and ``matched_terms``, found by substring match."""
-    found = F.array_compact(F.array(*[
-        F.when(F.col("_folded").contains(term), F.struct(F.lit(domain).alias("domain"), F.lit(term).alias("term")))
+    each = ", ".join(
+        f"CASE WHEN contains(_folded, '{term}') THEN named_struct('domain', '{domain}', 'term', '{term}') END"
         for _, domain, term in RANKED_TERMS
-    ]))
+    )
+    found = F.expr(f"array_compact(array({each}))")
     hits = _once(_once(questions, _folded=text.fold_case(F.col(question))), _hits=found)
     best = F.get("_hits", F.lit(0))["domain"]
     own = F.filter("_hits", lambda h: h["domain"] == F.get("_hits", F.lit(0))["domain"])
@@ -44,23 +45,26 @@ def classify(questions: DataFrame, question: str = "text") -> DataFrame:
 # --- routing --------------------------------------------------------------
 
 
-def route(q: Column, domain: Column) -> Column:
-    """The answer route: an ordered cascade over lower-case text, the first rule that holds wins."""
+def route(q: str, domain: str) -> Column:
+    """The answer route from the names of a lower-case text and a domain column: an ordered
+    cascade, the first rule that holds wins."""
+    has = lambda words: text.contains_any(q, words)
+    field = F.col(domain)
     return (
-        F.when(domain == "earthquake", "earthquake")
-        .when(text.contains_any(q, fixed.RESOURCE_WORDS), "resource")
-        .when(text.contains_any(q, fixed.UNCONNECTED_WORDS), "domain_unconnected")
-        .when(text.contains_any(q, fixed.SCAN_WORDS), "global_scan")
-        .when(q.contains("assam") & text.contains_any(q, fixed.ASSAM_FLOOD_WORDS), "assam_flood")
-        .when(domain == "flood", "flood")
-        .when(text.contains_any(q, fixed.WEATHER_WORDS), "weather")
-        .when(text.contains_any(q, fixed.CAPABILITY_WORDS), "capability")
-        .when(domain != fixed.NO_DOMAIN, "domain_report")
+        F.when(field == "earthquake", "earthquake")
+        .when(has(fixed.RESOURCE_WORDS), "resource")
+        .when(has(fixed.UNCONNECTED_WORDS), "domain_unconnected")
+        .when(has(fixed.SCAN_WORDS), "global_scan")
+        .when(F.col(q).contains("assam") & has(fixed.ASSAM_FLOOD_WORDS), "assam_flood")
+        .when(field == "flood", "flood")
+        .when(has(fixed.WEATHER_WORDS), "weather")
+        .when(has(fixed.CAPABILITY_WORDS), "capability")
+        .when(field != fixed.NO_DOMAIN, "domain_report")
         .otherwise("default")
     )
 
 
-def unconnected_domain(q: Column) -> Column:
+def unconnected_domain(q: str) -> Column:
     """The field named by the answer of the ``domain_unconnected`` route."""
     return (
         F.when(text.contains_any(q, fixed.HEALTH_WORDS), fixed.HEALTH_LABEL)
@@ -69,23 +73,23 @@ def unconnected_domain(q: Column) -> Column:
     )
 
 
-def death_question(question: Column) -> Column:
-    return text.contains_any(F.lower(question), fixed.CASUALTY_STEMS)
+def death_question(question: str) -> Column:
+    return text.contains_any(f"lower({question})", fixed.CASUALTY_STEMS)
 
 
-def refresh_trigger(question: Column) -> Column:
+def refresh_trigger(question: str) -> Column:
     """Does the question call for a refresh of the official evidence?"""
-    return text.contains_any(F.lower(question), fixed.REFRESH_TERMS)
+    return text.contains_any(f"lower({question})", fixed.REFRESH_TERMS)
 
 
 def answer_routes(questions: DataFrame, question: str = "text") -> DataFrame:
     """Adds the intent, ``route``, ``sub_domain`` and ``death_requested``."""
     lowered = _once(classify(questions, question), _q=F.lower(question))
-    routed = _once(lowered, route=route(F.col("_q"), F.col("domain")))
+    routed = _once(lowered, route=route("_q", "domain"))
     return _once(
         routed,
-        sub_domain=F.when(F.col("route") == "domain_unconnected", unconnected_domain(F.col("_q"))),
-        death_requested=text.contains_any(F.col("_q"), fixed.CASUALTY_STEMS),
+        sub_domain=F.when(F.col("route") == "domain_unconnected", unconnected_domain("_q")),
+        death_requested=text.contains_any("_q", fixed.CASUALTY_STEMS),
     ).drop("_q")
 
 

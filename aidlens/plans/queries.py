@@ -28,7 +28,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.score_requests(view(spark, sf_dir, "requests"))
+    return triage.score_requests(view(spark, sf_dir, "requests", spread_rows=True))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,13 +279,13 @@ def classify_question(spark, sf_dir):
 
 @query
 def refresh_trigger(spark, sf_dir):
-    return _questions(spark, sf_dir).select(*QUESTION, questions.refresh_trigger(F.col("text")).alias("refresh"))
+    return _questions(spark, sf_dir).select(*QUESTION, questions.refresh_trigger("text").alias("refresh"))
 
 
 @query
 def death_question_flag(spark, sf_dir):
     return _questions(spark, sf_dir).select(
-        *QUESTION, questions.death_question(F.col("text")).alias("death_requested")
+        *QUESTION, questions.death_question("text").alias("death_requested")
     )
 
 

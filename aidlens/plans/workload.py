@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aidlens import schemas
 from aidlens.session import spread
 
 VIEWS = {
@@ -80,8 +81,10 @@ SELECT event_id AS station_id, CASE WHEN event_id % 5 <> 0 THEN value / cast(10
 FROM {events}""",
 }
 
-# Text tables: few, wide rows with costly work per row.
-TEXT_TABLES = {
+# Unique keys of the tables that carry costly work per row, to spread them by.
+SPREAD_KEYS = {
+    "orders": ["o_orderkey"],
+    "events": ["event_id"],
     "documents": ["doc_id"],
     "pages": ["page_id"],
     "conversations": ["conv_id", "turn"],
@@ -93,15 +96,15 @@ def tables_of(view: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(schemas.GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
-    """A view as a DataFrame; ``spread_rows`` fills the cores before costly text work."""
+    """A view as a DataFrame; ``spread_rows`` fills the cores before costly row work."""
     frames = {}
     for t in tables_of(name):
         frame = table(spark, sf_dir, t)
-        frames[t] = spread(frame, *TEXT_TABLES[t]) if spread_rows and t in TEXT_TABLES else frame
+        frames[t] = spread(frame, *SPREAD_KEYS[t]) if spread_rows and t in SPREAD_KEYS else frame
     return spark.sql(VIEWS[name], **frames)
 
 

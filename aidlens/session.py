@@ -16,6 +16,8 @@ def local_session(cores: str = "*", name: str = "aidlens") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", os.environ.get("AIDLENS_SHUFFLE_PARTITIONS", "8"))
+        # small local shuffles keep enough tasks for all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", os.environ.get("AIDLENS_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )

@@ -52,7 +52,7 @@ def test_sub_domains_and_flags(rows):
     assert got["epidemic after war"].sub_domain == "public health"
     assert got["warning, people died"].sub_domain == "conflict and violence"
     assert got["warning, people died"].death_requested
-    flags = {r.text: r.f for r in df.select("text", questions.refresh_trigger(df.text).alias("f")).collect()}
+    flags = {r.text: r.f for r in df.select("text", questions.refresh_trigger("text").alias("f")).collect()}
     assert flags == {"epidemic after war": False, "warning, people died": False, "An alert in INDIA": True}
 
 
