@@ -315,11 +315,14 @@ ORACLES: dict[str, str] = {
     f"AS verification_state, {_display('affected_people')} AS affected_people, {_display('deaths')} AS deaths, {_UNKNOWN} AS injuries, "
     f"{_UNKNOWN} AS missing FROM records",
     "evidence_topk": _with(*SEARCH) + "SELECT conv_id, turn, seq, cast(score AS int) AS score, cast(rank AS int) AS rank FROM hits",
+    "evidence_context": _with(*SEARCH)
+    + "SELECT conv_id, turn, cast(count(*) AS int) AS matches, string_agg(source_name, ',' ORDER BY rank) AS source, "
+    "string_agg(observed_at, ',' ORDER BY rank) AS observed_at, "
+    "string_agg(coalesce(cast(deaths AS varchar), 'null'), ',' ORDER BY rank) AS deaths "
+    "FROM hits JOIN evidence_in USING (seq) GROUP BY conv_id, turn",
     "question_evidence": _with(*SEARCH)
-    + "SELECT conv_id, turn, cast(count(seq) AS int) AS matches, "
-    "coalesce(string_agg(observed_at, ',' ORDER BY rank), '') AS observed, "
-    "coalesce(string_agg(CASE WHEN seq IS NOT NULL THEN coalesce(cast(deaths AS varchar), 'null') END, ',' ORDER BY rank), '') AS deaths "
-    "FROM questions LEFT JOIN hits USING (conv_id, turn) LEFT JOIN evidence_in USING (seq) GROUP BY conv_id, turn",
+    + "SELECT conv_id, turn, cast(count(seq) AS int) AS matches, count(seq) = 0 AS noted "
+    "FROM questions LEFT JOIN hits USING (conv_id, turn) GROUP BY conv_id, turn",
     # events
     "event_rollup": _with("evidence_in", _records())
     + "SELECT event_key, cast(count(*) AS bigint) AS records, cast(count(DISTINCT (source_name, source_url)) AS bigint) AS sources, "

@@ -214,25 +214,29 @@ def evidence_topk(spark, sf_dir):
     )
 
 
-@query
-def question_evidence(spark, sf_dir):
-    """Every question with its evidence context, which the count of matches checks."""
-    asked = _questions(spark, sf_dir)
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "evidence_in", spread_rows=True)
-    hits = search.search(asked, rows, QUESTION, SEARCH_LIMIT)
-    contexts = evidence.context(hits, evidence.build_records(rows, FETCHED_AT), QUESTION)
-    answered = evidence.question_evidence(asked, contexts, QUESTION)
+    hits = search.search(_questions(spark, sf_dir), rows, QUESTION, SEARCH_LIMIT)
+    return evidence.context(hits, evidence.build_records(rows, FETCHED_AT), QUESTION)
+
+
+@query
+def evidence_context(spark, sf_dir):
+    """The JSON contexts, told by the fields read back from them, as engines space JSON apart."""
     listed = F.from_json("context", "array<struct<event:string,source:string,observed_at:string,deaths:int>>")
-    return answered.withColumn("_list", listed).select(
-        *QUESTION, "matches",
-        F.coalesce(F.array_join(F.transform("_list", lambda r: r["observed_at"]), ","), F.lit("")).alias("observed"),
-        F.coalesce(
-            F.array_join(F.transform("_list", lambda r: F.coalesce(r["deaths"].cast("string"), F.lit("null"))), ","),
-            F.lit(""),
-        ).alias("deaths"),
+    joined = lambda f: F.array_join(F.transform("_list", lambda r: F.coalesce(r[f].cast("string"), F.lit("null"))), ",")
+    return _contexts(spark, sf_dir).withColumn("_list", listed).select(
+        *QUESTION, "matches", *[joined(f).alias(f) for f in ("source", "observed_at", "deaths")]
     )
 
 
+@query
+def question_evidence(spark, sf_dir):
+    """Every question with the size of its context, or the note that there is none."""
+    answered = evidence.question_evidence(_questions(spark, sf_dir), _contexts(spark, sf_dir), QUESTION)
+    return answered.select(*QUESTION, "matches", (F.col("context") == fixed.NO_MATCH).alias("noted"))
+
+
 # --- events ---------------------------------------------------------------
 
 

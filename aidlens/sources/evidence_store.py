@@ -83,3 +83,9 @@ def append_new(batch: DataFrame, path: str, *arrival: str) -> int:
         .parquet(path)
     )
     return seen.get["inserted"]
+
+
+def append_lines(records: DataFrame, path: str) -> None:
+    """Append records as JSON lines, missing figures as null, for readers of that format."""
+    line = F.to_json(F.struct(*schemas.EVIDENCE.names), {"ignoreNullFields": "false"})
+    records.select(line.alias("value")).write.mode("append").text(path)

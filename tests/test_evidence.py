@@ -136,3 +136,10 @@ def test_append_new_counts_and_repeats(rows, tmp_path):
     more = built(rows, record(1), record(4, title="Third"))
     assert evidence_store.append_new(more, store) == 1
     assert evidence_store.read_store(batch.sparkSession, store).count() == 3
+
+
+def test_lines_round_trip(rows, tmp_path):
+    df = built(rows, record(1, deaths=4), record(2, title="Línea\n\"dos\"")).drop("seq")
+    evidence_store.append_lines(df, str(tmp_path / "lines"))
+    back = evidence_store.read_lines(df.sparkSession, str(tmp_path / "lines"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
