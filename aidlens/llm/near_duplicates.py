@@ -100,24 +100,41 @@ def signed_rows(docs: DataFrame, signer: Signer) -> DataFrame:
 
 
 def attach(sketches: np.ndarray, near: float, same: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Leaders among rows, and (row, leader) for rows that look near one.
+    """Leaders among rows, and (row, leader) where rows that look near a leader were not yet connected with it.
 
     A row that looks the ``same`` as a leader is done: whatever is similar to it is near the
-    leader too. Others stay and may lead.
+    leader too. Others stay and may lead. There are fewer edges than rows.
     """
-    alive, edges, leaders = np.arange(len(sketches)), [], []
+    alive, edges, leaders, root = np.arange(len(sketches)), [], [], np.arange(len(sketches))
     while len(alive):
         lead, alive = int(alive[0]), alive[1:]
         leaders.append(lead)
         if len(alive):
             agree = (sketches[alive] == sketches[lead]).mean(1)
-            edges += [(int(k), lead) for k in alive[agree >= near]]
+            found = np.unique(root[alive[agree >= near]])
+            found = found[found != root[lead]]
+            if len(found):
+                edges += [(int(k), lead) for k in found]
+                root[np.isin(root, found)] = root[lead]
             alive = alive[agree < same]
     return edges, leaders
 
 
 def _matcher(near: float, same: float, leaders_only: bool):
-    """Rows of tries, sorted by node and rest, to edges; or to the leaders of each node."""
+    """Rows of tries, sorted by node and rest, to (class, least connected class); or to the leaders of each node."""
+
+    def connect(rest: np.ndarray, sketches: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        edges, here = [], np.arange(len(rest))
+        if len(rest) > 8:  # longest prefixes first
+            cuts = [0, *(np.flatnonzero(np.diff(rest)) + 1).tolist(), len(rest)]
+            leaders = []
+            for x, y in zip(cuts, cuts[1:]):
+                inner, lead = attach(sketches[x:y], near, same)
+                edges += [(x + i, x + j) for i, j in inner]
+                leaders += [x + k for k in lead]
+            here = np.array(leaders)
+        outer, lead = attach(sketches[here], near, same)
+        return edges + [(int(here[i]), int(here[j])) for i, j in outer], here[lead]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.runs(batches, ["key", "salt"]):
@@ -125,29 +142,23 @@ def _matcher(near: float, same: float, leaders_only: bool):
             raw = table.column("sketch").to_pylist()
             sketches = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
             starts = np.append(common.group_starts(table, ["key", "salt"]), len(node))
-            a, b, led = [], [], []
-            for low, high in zip(starts, starts[1:]):
-                if high - low < 2:
-                    led.append(low)
-                    continue
-                here, leaders = np.arange(low, high), []
-                if high - low > 8:  # longest prefixes first
-                    cuts = np.append(np.flatnonzero(np.diff(rest[low:high], prepend=rest[low] - 1)), high - low)
-                    for x, y in zip(cuts, cuts[1:]):
-                        edges, lead = attach(sketches[low + x : low + y], near, same)
-                        a += [node[low + x + i] for i, _ in edges]
-                        b += [node[low + x + j] for _, j in edges]
-                        leaders += [low + x + k for k in lead]
-                    here = np.array(leaders)
-                edges, lead = attach(sketches[here], near, same)
-                a += [node[here[i]] for i, _ in edges]
-                b += [node[here[j]] for _, j in edges]
-                led += here[lead].tolist()
+            out, to, led = [], [], []
+            for low, high in zip(starts.tolist(), starts[1:].tolist()):
+                edges, leaders = connect(rest[low:high], sketches[low:high])
+                led += (low + leaders).tolist()
+                if edges:
+                    a, b = np.array(edges).T
+                    own, root = node[low:high], _roots(high - low, a, b)
+                    least = own.copy()
+                    np.minimum.at(least, root, own)
+                    moved = np.flatnonzero(least[root] != own)
+                    out += own[moved].tolist()
+                    to += least[root[moved]].tolist()
             if leaders_only:
                 kept = table.take(pa.array(led))
                 yield from kept.set_column(kept.schema.get_field_index("salt"), "salt", pa.array(np.zeros(len(led), np.int32))).to_batches()
-            elif a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            elif out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
 
     return run
 
