@@ -174,13 +174,12 @@ def main_text(page: str) -> str:
         path.append(node)
         node = node.parent
     threshold = min(b.density for b in path if b.density) if best.density else 0.0
-    out: list[str] = []
-
-    def add(above: Block, depth: int) -> None:
-        if not depth:
-            _flow(above, out)
-            return
+    before: list[str] = []
+    after: list[list[str]] = []
+    for above, inner in zip(path[:0:-1], path[-2::-1]):
+        sides: list[list[str]] = [[], []]
         run: list[str] = []
+        passed = 0
         for part in [*above.parts, None]:
             if isinstance(part, str):
                 run.append(part)
@@ -188,14 +187,15 @@ def main_text(page: str) -> str:
             line = " ".join("".join(run).split())
             run = []
             if line and len("".join(line.split())) >= threshold:
-                out.append(line)
-            if part is path[depth - 1]:
-                add(part, depth - 1)
+                sides[passed].append(line)
+            if part is inner:
+                passed = 1
             elif part is not None and not part.beside and part.density >= threshold and part.chars:
-                _flow(part, out)
-
-    add(path[-1], len(path) - 1)
-    return "\n".join(out)
+                _flow(part, sides[passed])
+        before += sides[0]
+        after.append(sides[1])
+    _flow(best, before)
+    return "\n".join([*before, *(line for side in reversed(after) for line in side)])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def materialise(
         rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
         .write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(store)
     )
-    return read(spark, store)
+    return read(spark, store, shard_rows=shard_rows)
 
 
 def _cutter(total: int, key: int, stride: int, shard_rows: int):
