@@ -111,9 +111,32 @@ FLOOD_REPORT = {
         ("GDACS", "https://gdacs.org/"),
         ("ReliefWeb", "https://reliefweb.int/"),
     ],
+    "evidence_status": "Disaster domain recognized; connect the current official bulletin before treating the report as live",
+    "confidence": "Low without a named location and current impact bulletin",
+    "limitations": "Weather forecasts do not prove inundation, and no casualty figure is shown unless an impact source explicitly reports it.",
 }
 DOMAIN_REPORT = {
     "status": "Recognized, but a current domain-specific impact record is not attached",
     "needs": [],
     "links": [("GDACS", "https://gdacs.org/"), ("ReliefWeb", "https://reliefweb.int/")],
+    "evidence_status": "Domain recognized; source adapter required for live impact figures",
+    "confidence": "Low until a current source record is attached",
+    "limitations": (
+        "The agent will not invent affected people, deaths, injuries, or responders. "
+        "Add a location and time range for a source-bounded answer."
+    ),
 }
+# Policy paragraphs of every report: fixed texts, the first around the problem's label.
+REPORT_HAPPENING = (
+    "The agent has identified this as a ",
+    " question. It should combine hazard observations, official warnings, humanitarian reports, and impact assessments "
+    "rather than relying on a single severity score.",
+)
+REPORT_CASUALTY_RULE = (
+    "Death and injury figures are shown only when an attached source explicitly reports them. The agent must not infer deaths "
+    "from magnitude, rainfall, population, media attention, or a generic risk label."
+)
+REPORT_WORKFLOW = (
+    "Confirm the exact city, district, block, or village; check the newest official bulletin; compare affected-population and "
+    "casualty figures across sources; identify verified shelters and responders; and record the last retrieval time before taking action."
+)

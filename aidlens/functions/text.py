@@ -51,10 +51,19 @@ def contains_any(text: str, words: Iterable[str]) -> Column:
     return F.expr(" OR ".join(f"contains({text}, '{w}')" for w in words))
 
 
+#: All characters that count as white space at the ends of a text.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def stripped(value: Column) -> Column:
+    """``value`` without white space of any kind at its ends."""
+    return F.btrim(value, F.lit(WHITE))
+
+
 def display_value(value: Column, fallback: str = fixed.NOT_REPORTED) -> Column:
     """``value`` as text, untrimmed, or ``fallback`` when it is missing or blank."""
     shown = value.cast("string")
-    blank = shown.isNull() | F.trim(shown).isin(fixed.BLANK_VALUES)
+    blank = shown.isNull() | stripped(shown).isin(fixed.BLANK_VALUES)
     return F.when(blank, F.lit(fallback)).otherwise(shown)
 
 

@@ -36,25 +36,40 @@ def normalize_hazards(feed: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def strong_hazards(hazards: DataFrame, as_of: str, days: int = 7, minimum: float = 4.5) -> DataFrame:
+    """All hazards of at least ``minimum`` in the last ``days`` before ``as_of``."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    start = end - F.make_interval(days=F.lit(days))
+    return hazards.filter((F.col("time") >= start) & (F.col("time") <= end) & (F.col("severity") >= minimum))
+
+
 def recent_hazards(
     hazards: DataFrame, as_of: str, days: int = 7, minimum: float = 4.5, rows: int = 500
 ) -> DataFrame:
-    """Strong hazards of the last ``days`` before ``as_of``, newest first, at most ``rows``."""
-    end = F.lit(as_of).cast("timestamp_ntz")
-    start = end - F.make_interval(days=F.lit(days))
-    kept = (F.col("time") >= start) & (F.col("time") <= end) & (F.col("severity") >= minimum)
-    return hazards.filter(kept).orderBy(F.desc("time"), "event_id").limit(rows)
+    """The newest ``rows`` of the strong hazards, for a list; answers count all of them."""
+    return strong_hazards(hazards, as_of, days, minimum).orderBy(F.desc("time"), "event_id").limit(rows)
 
 
 def hazard_peak(hazards: DataFrame) -> DataFrame:
-    """Count, highest severity and its place. No hazards: 0 and NULL, shown as not available."""
+    """Count, highest severity and its place, of equal ones that of the least id, text or number.
+
+    No hazards: 0 and NULL, shown as not available. An unknown severity is below all others.
+    """
     return hazards.agg(
         F.count("*").alias("events"),
         F.max("severity").alias("peak_severity"),
-        F.max_by("place", F.struct("severity", -F.col("event_id"))).alias("peak_place"),
+        F.min_by("place", F.struct(F.col("severity").isNull(), -F.col("severity"), F.col("event_id"))).alias("peak_place"),
     )
 
 
+def insert_new_hazards(batch: DataFrame, store: DataFrame) -> DataFrame:
+    """The hazards of a batch that the store does not hold, one per event id; null ids are one id."""
+    first = W.partitionBy("event_id").orderBy(F.xxhash64(*batch.columns))
+    new = batch.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").alias("b")
+    known = store.select("event_id").distinct().alias("s")
+    return new.join(known, F.col("b.event_id").eqNullSafe(F.col("s.event_id")), "left_anti")
+
+
 # --- humanitarian reports -------------------------------------------------
 
 
@@ -85,7 +100,7 @@ def latest_reports(reports: DataFrame, rows: int = 20) -> DataFrame:
 
 
 def place_name(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    return F.lower(text.stripped(name))
 
 
 def gazetteer_lookup(lookups: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -201,12 +216,23 @@ def alert_rows(alerts: DataFrame, observed_at: str) -> DataFrame:
 # --- raw JSON and status --------------------------------------------------
 
 
-def raw_json_status(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Keeps the raw text where it parses and tells whether it did."""
+def raw_json_status(
+    payloads: DataFrame, payload: str = "payload", source: str | None = None, label: str | None = None, reference: str | None = None
+) -> DataFrame:
+    """Keeps the raw text where it parses and tells whether it did.
+
+    ``source`` and ``label`` name the feed on every row, ``reference`` its documentation on rows
+    that parse; each is a column only where it is given.
+    """
     parses = text.is_json(F.col(payload))
+    named = {"source": source, "label": label}
+    told = {k: F.lit(v) for k, v in named.items() if v is not None}
+    if reference is not None:
+        told["reference"] = F.when(parses, F.lit(reference))
     return payloads.withColumns({
         "status": F.when(parses, "ok").otherwise("unavailable"),
         payload: F.when(parses, F.col(payload)),
+        **told,
     })
 
 

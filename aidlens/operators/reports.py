@@ -73,11 +73,11 @@ def _markdown() -> Column:
         _paragraph("Question received", F.col("question")),
         _paragraph("Direct status", F.col("status")),
         F.concat_ws("\n", *table),
-        _paragraph("Reading", F.lit("understood as a question about "), F.col("label"),
-                   F.lit("; weigh observations, warnings and impact reports together.")),
+        _paragraph("What may be happening", F.lit(fixed.REPORT_HAPPENING[0]), F.col("label"), F.lit(fixed.REPORT_HAPPENING[1])),
         _paragraph("Who may need help", F.col("needs"), F.lit(".")),
         _paragraph("Who may be responding", F.col("responders"), F.lit(".")),
-        _paragraph("Casualty rule", F.lit("a figure appears only where an attached source states it.")),
+        _paragraph("Casualty rule", F.lit(fixed.REPORT_CASUALTY_RULE)),
+        _paragraph("Recommended response workflow", F.lit(fixed.REPORT_WORKFLOW)),
         _paragraph("Sources", F.col("sources")),
         _paragraph("Limitations", F.col("limitations")),
     )
@@ -102,6 +102,7 @@ def report_inputs(routed: DataFrame, question: str = "text") -> DataFrame:
         "status": by_route("status"),
         "resources": by_route("needs"),
         "source_links": by_route("links"),
+        **{c: by_route(c) for c in ("evidence_status", "confidence", "limitations")},
     })
 
 

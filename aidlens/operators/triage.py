@@ -1,6 +1,6 @@
 """Request triage: scoring, filters, totals, the queue and dispatch recommendations."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -108,12 +108,23 @@ def top_supply_per_type(resources: DataFrame) -> DataFrame:
     )
 
 
-def dispatch_recommendations(scored: DataFrame, resources: DataFrame) -> DataFrame:
+def with_units(requests: DataFrame, lines: DataFrame, key: str, line_key: str, quantity: str) -> DataFrame:
+    """Adds ``requested_units``, the sum of a request's lines; only lines of ``requests`` are summed."""
+    wanted = requests.select(F.col(key).alias(line_key)).distinct()
+    units = lines.join(wanted, line_key, "left_semi").groupBy(line_key).agg(F.sum(quantity).alias("_units"))
+    joined = requests.join(units.withColumnRenamed(line_key, key), key, "left")
+    return joined.withColumn("requested_units", F.coalesce("_units", F.lit(0)).cast("int")).drop("_units")
+
+
+def dispatch_recommendations(
+    scored: DataFrame, resources: DataFrame, units: Callable[[DataFrame], DataFrame] = lambda top: top
+) -> DataFrame:
     """For each open need: where to send how many units, and from which warehouse.
 
-    Both sides are reduced to one row per need before they meet, so the join is tiny.
+    Both sides are reduced to one row per need before they meet, so the join is tiny. ``units``
+    adds ``requested_units`` to the chosen requests where that costs a look-up of its own.
     """
-    need = top_request_per_need(open_requests(scored)).alias("r")
+    need = units(top_request_per_need(open_requests(scored))).alias("r")
     supply = top_supply_per_type(resources).alias("s")
     reason = F.format_string("%s priority; %d people affected", "r.priority", "r.people_affected")
     return (

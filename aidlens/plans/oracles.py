@@ -34,6 +34,10 @@ KPIS = (
     f"cast(count(*) FILTER (WHERE {OPEN}) AS bigint) AS open_requests, "
     "cast(coalesce(sum(people_affected), 0) AS bigint) AS people_affected FROM requests)"
 )
+CHOSEN = (
+    "status IN ('Unverified', 'Verified', 'Assigned') AND need_type IN ('Water', 'Food', 'Medical', 'Rescue') "
+    "AND zone IN ('AFRICA', 'ASIA', 'EUROPE')"
+)
 TOP_REQUEST = (
     "top_request AS (SELECT * FROM scored {where} QUALIFY row_number() OVER "
     "(PARTITION BY need_type ORDER BY priority_score DESC, request_id) = 1)"
@@ -70,7 +74,7 @@ NEW = (
 def _display(x: str, fallback: str = fixed.NOT_REPORTED) -> str:
     text = f"cast({x} AS varchar)"
     blanks = ", ".join(_q(b) for b in fixed.BLANK_VALUES)
-    return f"(CASE WHEN {text} IS NULL OR trim({text}) IN ({blanks}) THEN {_q(fallback)} ELSE {text} END)"
+    return f"(CASE WHEN {text} IS NULL OR trim({text}, ' ' || chr(9) || chr(10) || chr(13)) IN ({blanks}) THEN {_q(fallback)} ELSE {text} END)"
 
 
 # --- questions ------------------------------------------------------------
@@ -119,7 +123,7 @@ HISTORY = (
     f"(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {fixed.HISTORY_MESSAGES} PRECEDING AND 1 PRECEDING), '') AS history FROM questions)"
 )
 ROUTING = (
-    f"routing AS (SELECT conv_id, turn, CASE WHEN history <> '' THEN {_q(fixed.HISTORY_HEADING)} || chr(10) || history || "
+    f"routing AS (SELECT conv_id, turn, text, CASE WHEN history <> '' THEN {_q(fixed.HISTORY_HEADING)} || chr(10) || history || "
     f"chr(10) || chr(10) || {_q(fixed.CURRENT_MESSAGE)} || text ELSE text END AS routing_text FROM history)"
 )
 ALL_ROUTED = ["questions", HISTORY, ROUTING, _classified("routing", "routing_text"), ROUTED]
@@ -184,7 +188,13 @@ SITUATION = (
     )
     + f", {_by_route(_q(', '.join(fixed.FLOOD_REPORT['needs'])), _q(fixed.REPORT_NO_NEEDS))} AS needs, "
     f"{_by_route(_links(fixed.FLOOD_REPORT), _links(fixed.DOMAIN_REPORT))} AS sources, "
-    f"{_q(fixed.REPORT_EVIDENCE_STATUS)} AS evidence_status, {_q(fixed.REPORT_CONFIDENCE)} AS confidence "
+    + _by_route("'Disaster domain recognized; connect the current official bulletin before treating the report as live'",
+                "'Domain recognized; source adapter required for live impact figures'") + " AS evidence_status, "
+    + _by_route("'Low without a named location and current impact bulletin'", "'Low until a current source record is attached'") + " AS confidence, "
+    + _by_route(
+        "'Weather forecasts do not prove inundation, and no casualty figure is shown unless an impact source explicitly reports it.'",
+        "'The agent will not invent affected people, deaths, injuries, or responders. "
+        "Add a location and time range for a source-bounded answer.'") + " AS limitations, label "
     "FROM routed WHERE route IN ('flood', 'domain_report')"
 ).replace("initcap_words(label)", "upper(left(label, 1)) || substr(label, 2)")
 
@@ -199,7 +209,7 @@ EVIDENCE_CELLS = (
 )
 
 
-def _markdown() -> str:
+def _markdown(limitations: str = _q(fixed.REPORT_LIMITATIONS)) -> str:
     nl, gap = "chr(10)", "chr(10) || chr(10)"
     cells = [
         "problem_type", "location", "event_time", "affected_people", "deaths", "injuries", "missing_people",
@@ -214,19 +224,26 @@ def _markdown() -> str:
         "'**Question received:** ' || question",
         "'**Direct status:** ' || status",
         table,
-        "'**Reading:** understood as a question about ' || label || '; weigh observations, warnings and impact reports together.'",
+        "'**What may be happening:** The agent has identified this as a ' || label || ' question. It should combine hazard observations, "
+        "official warnings, humanitarian reports, and impact assessments rather than relying on a single severity score.'",
         "'**Who may need help:** ' || needs || '.'",
         "'**Who may be responding:** ' || responders || '.'",
-        "'**Casualty rule:** a figure appears only where an attached source states it.'",
+        "'**Casualty rule:** Death and injury figures are shown only when an attached source explicitly reports them. The agent must not "
+        "infer deaths from magnitude, rainfall, population, media attention, or a generic risk label.'",
+        "'**Recommended response workflow:** Confirm the exact city, district, block, or village; check the newest official bulletin; compare "
+        "affected-population and casualty figures across sources; identify verified shelters and responders; and record the last retrieval "
+        "time before taking action.'",
         "'**Sources:** ' || sources",
-        f"'**Limitations:** ' || {_q(fixed.REPORT_LIMITATIONS)}",
+        f"'**Limitations:** ' || {limitations}",
     ])
 
 
+SITUATION_ROWS = f"SELECT * EXCLUDE (label), {_markdown('limitations')} AS report FROM cells"
+
 # --- feeds ----------------------------------------------------------------
 
 HAZARD_ROWS = (
-    "SELECT cast(event_id AS varchar) AS event_id, 'Earthquake' AS hazard, "
+    "SELECT 'us' || event_id AS event_id, 'Earthquake' AS hazard, "
     f"CASE WHEN event_id % 6 <> 0 THEN title ELSE {_q(fixed.HAZARD_NAME)} END AS title, "
     f"CASE WHEN event_id % 7 <> 0 THEN place ELSE {_q(fixed.HAZARD_NO_PLACE)} END AS place, "
     "CASE WHEN event_id % 5 <> 0 THEN severity ELSE cast(0 AS double) END AS severity, "
@@ -235,6 +252,9 @@ HAZARD_ROWS = (
     "CASE WHEN event_id % 9 <> 0 THEN depth_km / 2 END AS depth_km, "
     f"'https://example.org/e/' || cast(event_id AS varchar) AS url, {_q(fixed.HAZARD_SOURCE)} AS source FROM hazards"
 )
+STRONG = (
+    f"strong AS (SELECT * FROM rows_ WHERE time >= timestamp '{q.AS_OF}' - INTERVAL 7 DAYS AND time <= timestamp '{q.AS_OF}' AND severity >= 4.5)"
+)
 RECENT = (
     f"recent AS (SELECT * FROM hazards WHERE time >= timestamp '{q.AS_OF}' - INTERVAL 7 DAYS AND time <= timestamp '{q.AS_OF}' "
     "AND severity >= 4.5 ORDER BY time DESC, event_id LIMIT 500)"
@@ -285,6 +305,15 @@ ORACLES: dict[str, str] = {
     + "SELECT need_type AS need, location AS priority_location, least(requested_units, available_units) AS recommended_units, "
     "warehouse AS dispatch_from, priority || ' priority; ' || people_affected || ' people affected' AS reason "
     "FROM top_request JOIN top_supply ON lower(need_type) = supply_type ORDER BY need",
+    "dispatch_filtered": _with(
+        "requests", "resources", SCORED, TOP_REQUEST.format(where=f"WHERE {OPEN} AND {CHOSEN}"), TOP_SUPPLY
+    )
+    + "SELECT need_type AS need, location AS priority_location, least(requested_units, available_units) AS recommended_units, "
+    "warehouse AS dispatch_from, priority || ' priority; ' || people_affected || ' people affected' AS reason "
+    "FROM top_request JOIN top_supply ON lower(need_type) = supply_type ORDER BY need",
+    "kpis_filtered": _with("requests", KPIS[:-1] + f" WHERE {CHOSEN})") + "SELECT * FROM kpis",
+    "need_totals_filtered": _with("requests")
+    + f"SELECT need_type, cast(coalesce(sum(people_affected), 0) AS bigint) AS people_affected FROM requests WHERE {CHOSEN} GROUP BY need_type",
     "request_map_points": _with("requests")
     + "SELECT request_id, location, latitude AS lat, longitude AS lon, priority, people_affected, need_type, status FROM requests",
     "radar_rank": _with("problems")
@@ -359,7 +388,8 @@ ORACLES: dict[str, str] = {
     "answer_route": _with(*ALL_ROUTED) + "SELECT conv_id, turn, domain, route, sub_domain, death_requested FROM routed",
     "answer_route_current": _with("questions", _classified("questions", "text"), ROUTED)
     + "SELECT conv_id, turn, domain, route, sub_domain, death_requested FROM routed",
-    "situation_report": _with("questions", _classified("questions", "text"), ROUTED) + SITUATION,
+    "situation_report": _with(*ALL_ROUTED, f"cells AS ({SITUATION})") + SITUATION_ROWS,
+    "situation_report_current": _with("questions", _classified("questions", "text"), ROUTED, f"cells AS ({SITUATION})") + SITUATION_ROWS,
     "evidence_situation_report": _with("evidence_in", EVIDENCE_CELLS)
     + f"SELECT * EXCLUDE (label), {_markdown()} AS report FROM cells",
     "resource_answer": _with("requests", KPIS, *ALL_ROUTED)
@@ -367,7 +397,7 @@ ORACLES: dict[str, str] = {
     "format('{:,}', k.people_affected) || ' affected people**' || "
     "CASE WHEN death_requested THEN '; deaths not reported in the operational dataset' ELSE '' END AS answer "
     "FROM routed CROSS JOIN kpis k WHERE route = 'resource'",
-    "hazard_answer": _with("hazards", RECENT, f"peak AS ({_peak('recent')})", *ALL_ROUTED)
+    "hazard_answer": _with("hazards", f"rows_ AS ({HAZARD_ROWS})", STRONG, f"peak AS ({_peak('strong')})", *ALL_ROUTED)
     + "SELECT conv_id, turn, '**' || p.events || ' event(s)**, highest **' || "
     "coalesce('M' || format('{:.1f}', round_even(p.peak_severity, 1)), 'not available') || '** near **' || "
     "coalesce(p.peak_place, 'not available') || '**; deaths/casualties: ' || "
@@ -387,12 +417,12 @@ ORACLES: dict[str, str] = {
     "document_excerpt": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN left(text, {fixed.EXCERPT_CHARS}) ELSE {_q(fixed.BINARY_ATTACHMENT)} END AS excerpt, "
     f"CASE WHEN doc_id % 4 <> 0 THEN source WHEN doc_id % 8 <> 0 THEN lang ELSE {_q(fixed.NO_ATTACHMENT)} END AS label FROM documents",
     "display_value": _with("evidence_in")
-    + f"SELECT seq, {_display('deaths')} AS deaths, {_display('odd')} AS shown FROM (SELECT *, CASE domain WHEN 'flood' THEN ' ' "
+    + f"SELECT seq, {_display('deaths')} AS deaths, {_display('odd')} AS shown FROM (SELECT *, CASE domain WHEN 'flood' THEN chr(9) || chr(13) || chr(10) || ' ' "
     "WHEN 'fire' THEN 'nan' WHEN 'drought' THEN ' None ' WHEN 'heat' THEN ' kept ' ELSE title END AS odd FROM evidence_in)",
     # feeds
     "hazard_normalize": _with("hazards") + HAZARD_ROWS,
     "hazard_recent": _with("hazards", RECENT) + "SELECT * FROM recent",
-    "hazard_peak": _with("hazards") + _peak("hazards"),
+    "hazard_peak": _with("hazards", f"rows_ AS ({HAZARD_ROWS})") + _peak("rows_"),
     "hazard_display": _with("hazards", f"rows_ AS ({HAZARD_ROWS})")
     + "SELECT event_id, format('{:.5f}', longitude) AS longitude, 'M' || format('{:.1f}', round_even(severity, 1)) AS magnitude FROM rows_",
     "reports_normalize": _with("reports_flat") + REPORT_ROWS,
@@ -422,7 +452,8 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT page_id, pos, record_id, event_key, lower(domain) AS domain, title, summary, "
     f"{_q(fixed.ALERT_FRESHNESS)} AS freshness, {_q(fixed.ALERT_CONFIDENCE)} AS confidence FROM records",
-    "raw_json_status": "SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS payload, "
+    "raw_json_status": "SELECT event_id, 'Events' AS source, 'props' AS label, "
+    "CASE WHEN json_valid(payload) THEN 'https://example.org/reference' END AS reference, CASE WHEN json_valid(payload) THEN payload END AS payload, "
     "CASE WHEN json_valid(payload) THEN 'ok' ELSE 'unavailable' END AS status FROM "
     "(SELECT event_id, CASE WHEN event_id % 10 = 0 THEN left(props, 3) ELSE props END AS payload FROM events)",
     "ingest_status": _with("evidence_in")
@@ -430,7 +461,11 @@ ORACLES: dict[str, str] = {
     "(SELECT 'src' || i AS source, 'https://example.org/src' || i AS url FROM range(21) t(i)) "
     "LEFT JOIN (SELECT source_name AS source, source_url AS url, count(*) AS n FROM evidence_in GROUP BY ALL) USING (source, url)",
     # streams
-    "stream_evidence_ingest": _with("evidence_in", _records())
-    + "SELECT DISTINCT record_id, event_key, source_name, observed_at FROM records",
+    "stream_evidence_ingest": _with(
+        "evidence_in", "dated AS (SELECT * REPLACE (CASE WHEN seq % 11 <> 0 THEN observed_at ELSE '' END AS observed_at) FROM evidence_in)", _records("dated"),
+        "firsts AS (SELECT *, CASE WHEN seq % 3 < 2 THEN 0 WHEN seq % 2 = 0 THEN 1 ELSE 2 END AS k FROM records "
+        "QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq) = 1)",
+    )
+    + "SELECT record_id, event_key, source_name, observed_at, k || ' ' || summary AS summary, cast(deaths + k AS int) AS deaths, affected_people FROM firsts",
     "stream_hazard_unique": _with("hazards") + HAZARD_ROWS,
 }

@@ -20,6 +20,7 @@ FETCHED_AT = "2026-02-01T00:00:00+00:00"
 AS_OF = "2024-01-30 12:00:00"
 SEARCH_LIMIT = 6
 QUESTION = ["conv_id", "turn"]
+CHOSEN = [["Unverified", "Verified", "Assigned"], ["Water", "Food", "Medical", "Rescue"], ["AFRICA", "ASIA", "EUROPE"]]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,15 +29,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.score_requests(view(spark, sf_dir, "requests", spread_rows=True))
+    return triage.score_requests(view(spark, sf_dir, "requests", rebalance=True))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    lines = table(spark, sf_dir, "lineitem")
+    return lambda top: triage.with_units(top, lines, "order_key", "l_orderkey", "l_quantity")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "questions", spread_rows=True)
+    return view(spark, sf_dir, "questions", rebalance=True)
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.build_records(view(spark, sf_dir, "evidence_in", spread_rows=True), FETCHED_AT)
+    return evidence.build_records(view(spark, sf_dir, "evidence_in", rebalance=True), FETCHED_AT)
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +65,7 @@ def priority_score(spark, sf_dir):
 
 @query
 def filtered_requests(spark, sf_dir):
-    chosen = triage.filter_requests(
-        _scored(spark, sf_dir),
-        ["Unverified", "Verified", "Assigned"],
-        ["Water", "Food", "Medical", "Rescue"],
-        ["AFRICA", "ASIA", "EUROPE"],
-    )
+    chosen = triage.filter_requests(_scored(spark, sf_dir), *CHOSEN)
     return triage.by_urgency(chosen).select(
         "request_id", "zone", "need_type", "status", "people_affected", "priority_score"
     )
@@ -105,7 +106,8 @@ def triage_queue(spark, sf_dir):
 
 @query
 def top_request_per_need(spark, sf_dir):
-    return triage.top_request_per_need(_scored(spark, sf_dir)).select(
+    heads = triage.score_requests(view(spark, sf_dir, "request_heads"))
+    return _units(spark, sf_dir)(triage.top_request_per_need(heads)).select(
         "need_type", "request_id", "location", "priority", "people_affected", "requested_units", "priority_score"
     )
 
@@ -119,7 +121,27 @@ def top_supply_per_type(spark, sf_dir):
 
 @query
 def dispatch_recommendations(spark, sf_dir):
-    return triage.dispatch_recommendations(_scored(spark, sf_dir), view(spark, sf_dir, "resources"))
+    """Units come from the big line table: they are summed for the chosen requests alone."""
+    heads = triage.score_requests(view(spark, sf_dir, "request_heads"))
+    return triage.dispatch_recommendations(heads, view(spark, sf_dir, "resources"), _units(spark, sf_dir))
+
+
+@query
+def dispatch_filtered(spark, sf_dir):
+    """Dispatch over a filtered view of the requests."""
+    chosen = triage.filter_requests(triage.score_requests(view(spark, sf_dir, "request_heads")), *CHOSEN)
+    return triage.dispatch_recommendations(chosen, view(spark, sf_dir, "resources"), _units(spark, sf_dir))
+
+
+@query
+def kpis_filtered(spark, sf_dir):
+    """Figures of a filtered view of the requests."""
+    return triage.request_kpis(triage.filter_requests(view(spark, sf_dir, "request_heads"), *CHOSEN))
+
+
+@query
+def need_totals_filtered(spark, sf_dir):
+    return triage.need_totals(triage.filter_requests(view(spark, sf_dir, "request_heads"), *CHOSEN))
 
 
 @query
@@ -210,12 +232,12 @@ def evidence_provenance(spark, sf_dir):
 @query
 def evidence_topk(spark, sf_dir):
     return search.search(
-        _questions(spark, sf_dir), view(spark, sf_dir, "evidence_in", spread_rows=True), QUESTION, SEARCH_LIMIT
+        _questions(spark, sf_dir), view(spark, sf_dir, "evidence_in", rebalance=True), QUESTION, SEARCH_LIMIT
     )
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "evidence_in", spread_rows=True)
+    rows = view(spark, sf_dir, "evidence_in", rebalance=True)
     hits = search.search(_questions(spark, sf_dir), rows, QUESTION, SEARCH_LIMIT)
     return evidence.context(hits, evidence.build_records(rows, FETCHED_AT), QUESTION)
 
@@ -335,9 +357,16 @@ REPORT_CELLS = [
 
 @query
 def situation_report(spark, sf_dir):
-    """Reports for the questions that end on a report route."""
+    """Reports for the questions that end on a report route, the conversation so far included."""
+    inputs = reports.report_inputs(_routed(spark, sf_dir))
+    return reports.situation_report(inputs, *QUESTION).select(*QUESTION, "question", *REPORT_CELLS, "limitations", "report")
+
+
+@query
+def situation_report_current(spark, sf_dir):
+    """The same by the current message alone."""
     inputs = reports.report_inputs(questions.answer_routes(_questions(spark, sf_dir)))
-    return reports.situation_report(inputs, *QUESTION).select(*QUESTION, "question", *REPORT_CELLS)
+    return reports.situation_report(inputs, *QUESTION).select(*QUESTION, "question", *REPORT_CELLS, "limitations", "report")
 
 
 @query
@@ -355,8 +384,8 @@ def resource_answer(spark, sf_dir):
 
 @query
 def hazard_answer(spark, sf_dir):
-    recent = feeds.recent_hazards(view(spark, sf_dir, "hazards"), AS_OF)
-    peak = feeds.hazard_peak(recent)
+    hazards = feeds.normalize_hazards(_hazard_feed(spark, sf_dir))
+    peak = feeds.hazard_peak(feeds.strong_hazards(hazards, AS_OF))
     return reports.hazard_answer(_routed(spark, sf_dir), peak).select(*QUESTION, "answer")
 
 
@@ -388,7 +417,7 @@ def document_excerpt(spark, sf_dir):
 def display_value(spark, sf_dir):
     rows = view(spark, sf_dir, "evidence_in")
     odd = (
-        F.when(F.col("domain") == "flood", " ").when(F.col("domain") == "fire", "nan")
+        F.when(F.col("domain") == "flood", "\t\r\n ").when(F.col("domain") == "fire", "nan")
         .when(F.col("domain") == "drought", " None ").when(F.col("domain") == "heat", " kept ")
         .otherwise(F.col("title"))
     )
@@ -405,7 +434,7 @@ def _hazard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     rows = view(spark, sf_dir, "hazards")
     feature = F.struct(
-        F.col("event_id").cast("string").alias("id"),
+        F.concat(F.lit("us"), F.col("event_id").cast("string")).alias("id"),
         F.struct(
             _at("event_id", 6, F.col("title")).alias("title"),
             _at("event_id", 5, F.col("severity")).alias("mag"),
@@ -434,7 +463,7 @@ def hazard_recent(spark, sf_dir):
 
 @query
 def hazard_peak(spark, sf_dir):
-    return feeds.hazard_peak(view(spark, sf_dir, "hazards"))
+    return feeds.hazard_peak(feeds.normalize_hazards(_hazard_feed(spark, sf_dir)))
 
 
 @query
@@ -517,18 +546,18 @@ def weather_daily(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    pages = view(spark, sf_dir, "alert_pages", spread_rows=True)
+    pages = view(spark, sf_dir, "alert_pages", rebalance=True)
     return pages.select("page_id", text.visible_text(F.col("html")).alias("page_text"))
 
 
 @query
 def alert_extract(spark, sf_dir):
-    return feeds.extract_alerts(view(spark, sf_dir, "alert_pages", spread_rows=True))
+    return feeds.extract_alerts(view(spark, sf_dir, "alert_pages", rebalance=True))
 
 
 @query
 def alert_records(spark, sf_dir):
-    alerts = feeds.extract_alerts(view(spark, sf_dir, "alert_pages", spread_rows=True))
+    alerts = feeds.extract_alerts(view(spark, sf_dir, "alert_pages", rebalance=True))
     records = evidence.build_records(feeds.alert_rows(alerts, FETCHED_AT), FETCHED_AT)
     return records.select(
         "page_id", "pos", "record_id", "event_key", "domain", "title", "summary", "freshness", "confidence"
@@ -541,7 +570,7 @@ def raw_json_status(spark, sf_dir):
         "event_id",
         F.when(F.col("event_id") % 10 == 0, F.left("props", F.lit(3))).otherwise(F.col("props")).alias("payload"),
     )
-    return feeds.raw_json_status(rows)
+    return feeds.raw_json_status(rows, source="Events", label="props", reference="https://example.org/reference")
 
 
 @query
@@ -562,25 +591,33 @@ def ingest_status(spark, sf_dir):
 
 @query
 def stream_evidence_ingest(spark, sf_dir):
-    """Records landed as JSON lines, taken in by several micro-batches, each id stored once."""
+    """Records landed as JSON lines in three files, each id stored once, as it first came.
+
+    The later files hold other figures for ids of the first, and undated records; all
+    micro-batches together give what one pass over the files in order would.
+    """
     folder = f"{shared_folder(spark)}/evidence-stream-{uuid.uuid4()}"
-    record = F.to_json(F.struct(*schemas.EVIDENCE.names), {"ignoreNullFields": "false"})
-    _incoming(spark, sf_dir).select(record.alias("value")).write.text(f"{folder}/landing")
-    lines = ingest.evidence_lines(spark, f"{folder}/landing", files_per_batch=16)
-    ingest.ingest_evidence(lines, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    undated = F.when(F.col("seq") % 11 != 0, F.col("observed_at")).otherwise("")
+    rows = evidence.build_records(view(spark, sf_dir, "evidence_in", rebalance=True).withColumn("observed_at", undated), FETCHED_AT)
+    rows = evidence.first_per_record(rows, "seq")
+    parts = [rows.filter("seq % 3 < 2"), rows.filter("seq % 2 = 0"), rows]
+    for k, part in enumerate(parts):
+        later = part.withColumn("deaths", F.col("deaths") + k).withColumn("summary", F.concat(F.lit(f"{k} "), F.col("summary")))
+        later.select(evidence_store.line().alias("value")).coalesce(1).write.mode("append").text(f"{folder}/landing/{k}")
+        lines = ingest.evidence_lines(spark, f"{folder}/landing/{k}", files_per_batch=1)
+        ingest.ingest_evidence(lines, f"{folder}/store", f"{folder}/checkpoint{k}", ids_by_day=True).awaitTermination()
     return evidence_store.read_store(spark, f"{folder}/store").select(
-        "record_id", "event_key", "source_name", "observed_at"
+        "record_id", "event_key", "source_name", "observed_at", "summary", "deaths", "affected_people"
     )
 
 
 @query
 def stream_hazard_unique(spark, sf_dir):
-    """Hazards landed twice, kept once. The watermark spans the whole table."""
+    """Hazards landed twice, in files of any order, kept once."""
     folder = f"{shared_folder(spark)}/hazard-stream-{uuid.uuid4()}"
     feed = _hazard_feed(spark, sf_dir)
     for _ in range(2):
         feed.write.mode("append").json(f"{folder}/landing")
     hazards = ingest.hazard_files(spark, f"{folder}/landing", files_per_batch=1, document_per_file=False)
-    unique = ingest.unique_hazards(hazards, "60 days")
-    ingest.append_parquet(unique, f"{folder}/hazards", "hazards", f"{folder}/checkpoint").awaitTermination()
+    ingest.ingest_hazards(hazards, f"{folder}/hazards", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/hazards")

@@ -9,7 +9,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from aidlens import schemas
-from aidlens.session import spread
 
 VIEWS = {
     "requests": """
@@ -26,6 +25,16 @@ SELECT 'REQ-' || cast(o.o_orderkey AS string) AS request_id, n.n_name AS locatio
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 JOIN {region} r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS qty FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey""",
+    "request_heads": """
+SELECT 'REQ-' || cast(o.o_orderkey AS string) AS request_id, o.o_orderkey AS order_key, n.n_name AS location, r.r_name AS zone,
+  split_part('Water|Food|Medical|Shelter|Rescue|Transport', '|', cast(o.o_orderkey % 6 + 1 AS int)) AS need_type,
+  cast(floor(o.o_totalprice / 500) AS int) AS people_affected,
+  CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High'
+    WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low' ELSE 'Unspecified' END AS priority,
+  CASE WHEN o.o_orderstatus = 'F' THEN 'Completed' WHEN o.o_orderstatus = 'P' THEN 'Assigned'
+    WHEN o.o_orderkey % 2 = 0 THEN 'Unverified' ELSE 'Verified' END AS status
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
     "resources": """
 SELECT 'R-' || cast(s_suppkey AS string) AS resource_id,
   CASE WHEN s_suppkey % 4 = 1 THEN upper(split_part('Water|Food|Medical|Shelter|Rescue|Transport', '|', cast(s_suppkey % 6 + 1 AS int)))
@@ -81,7 +90,7 @@ SELECT event_id AS station_id, CASE WHEN event_id % 5 <> 0 THEN value / cast(10
 FROM {events}""",
 }
 
-# Unique keys of the tables that carry costly work per row, to spread them by.
+# Unique keys of the tables that carry costly work per row, to rebalance them by.
 SPREAD_KEYS = {
     "orders": ["o_orderkey"],
     "events": ["event_id"],
@@ -99,12 +108,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
-    """A view as a DataFrame; ``spread_rows`` fills the cores before costly row work."""
+def view(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = False) -> DataFrame:
+    """A view as a DataFrame; ``rebalance`` deals rows of costly work anew, in sizes that Spark chooses."""
     frames = {}
     for t in tables_of(name):
         frame = table(spark, sf_dir, t)
-        frames[t] = spread(frame, *SPREAD_KEYS[t]) if spread_rows and t in SPREAD_KEYS else frame
+        frames[t] = frame.hint("rebalance", *SPREAD_KEYS[t]) if rebalance and t in SPREAD_KEYS else frame
     return spark.sql(VIEWS[name], **frames)
 
 

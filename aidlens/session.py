@@ -1,11 +1,9 @@
-"""Session settings and the two size checks the operators lean on."""
+"""Session settings and the shared folder."""
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-SPLIT_BYTES = 128 * 1024 * 1024
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", name: str = "aidlens") -> SparkSession:
@@ -41,20 +39,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable with the folder of ``shared_folder``."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Fill the cores before CPU-heavy row work on a small table.
-
-    A table below one file split per core is read by fewer tasks than there are cores, so one
-    cheap shuffle pays off. A larger table already has enough splits and is left alone.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= slots * SPLIT_BYTES:
-        return df
-    return df.repartition(4 * slots, *keys)

@@ -1,13 +1,15 @@
 """Evidence in and out: tolerant JSON lines, and the insert-only record table."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from aidlens import schemas
 from aidlens.functions import text
 from aidlens.operators import evidence
 
+DAY = "observed_day"
 KNOWN = schemas.EVIDENCE_REQUIRED + list(schemas.EVIDENCE_DEFAULTS)
 
 
@@ -38,7 +40,7 @@ def parse_lines(lines: DataFrame, *keep: str) -> DataFrame:
         return F.when(absent, F.lit(default).cast(types[name])).otherwise(value).alias(name)
 
     return (
-        lines.filter(F.trim("value") != "")
+        lines.filter(text.stripped(F.col("value")) != "")
         .filter(whole)
         .withColumn("_keys", keys)
         .filter(fits)
@@ -59,33 +61,59 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The record table; empty and typed before the first append."""
+    return _stored(spark, path).select(*schemas.EVIDENCE.names)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    schema = StructType([*schemas.EVIDENCE, StructField(DAY, StringType())])
     try:
-        return spark.read.schema(schemas.EVIDENCE).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schemas.EVIDENCE)
+        return spark.createDataFrame([], schema)
+
+
+def observed_day() -> Column:
+    """The day a record was observed, by which the table is partitioned; ``undated`` without one."""
+    day = F.regexp_extract("observed_at", r"^\d{4}-\d{2}-\d{2}", 0)
+    return F.when(day != "", day).otherwise(F.lit("undated"))
 
 
-def append_new(batch: DataFrame, path: str, *arrival: str) -> int:
+def append_new(batch: DataFrame, path: str, *arrival: str, ids_by_day: bool = False) -> int:
     """Append the records the table does not hold yet; returns how many.
 
-    Of several records with one id the first by ``arrival`` (by default the fetch time) counts.
-    A repeated call adds nothing, also after a run that failed half-way. One writer at a time.
+    Of several records with one id the first by ``arrival`` (by default the fetch time) counts,
+    however late or undated it is. A repeated call adds nothing, also after a run that failed
+    half-way, and nothing new writes no file. One writer at a time.
+
+    Ids made by ``text.record_id`` hash the time of observation, so equal ones share a day:
+    with ``ids_by_day`` only the batch's days of the table are read.
     """
     spark = batch.sparkSession
-    seen = Observation()
-    new = evidence.insert_new(batch, read_store(spark, path), *(arrival or ("fetched_at",)))
-    (
-        new.select(*schemas.EVIDENCE.names)
-        .observe(seen, F.count("*").alias("inserted"))
-        .write.mode("append")
-        .parquet(path)
-    )
-    return seen.get["inserted"]
+    batch = batch.withColumn(DAY, observed_day())
+    store = _stored(spark, path)
+    if ids_by_day:
+        days = [r[DAY] for r in batch.select(DAY).distinct().toLocalIterator()]  # days of one batch
+        store = store.filter(F.col(DAY).isin(days))
+    new = evidence.insert_new(batch, store, *(arrival or ("fetched_at",)))
+    new = new.select(*schemas.EVIDENCE.names, DAY).persist()
+    try:
+        inserted = new.count()
+        if inserted:
+            new.write.mode("append").partitionBy(DAY).parquet(path)
+    finally:
+        new.unpersist()
+    return inserted
+
+
+def line() -> Column:
+    """A record as a JSON line: missing figures as null, ``raw`` as the object it holds."""
+    others = F.to_json(F.struct(*[n for n in schemas.EVIDENCE.names if n != "raw"]), {"ignoreNullFields": "false"})
+    raw = F.when(text.is_json(F.col("raw")), F.regexp_replace("raw", r"[\r\n]+", " ")).otherwise(F.lit("{}"))
+    return F.concat(F.substring(others, F.lit(1), F.length(others) - 1), F.lit(',"raw":'), raw, F.lit("}"))
 
 
 def append_lines(records: DataFrame, path: str) -> None:
-    """Append records as JSON lines, missing figures as null, for readers of that format."""
-    line = F.to_json(F.struct(*schemas.EVIDENCE.names), {"ignoreNullFields": "false"})
-    records.select(line.alias("value")).write.mode("append").text(path)
+    """Append records as JSON lines, for readers of that format."""
+    records.select(line().alias("value")).write.mode("append").text(path)

@@ -3,6 +3,7 @@
 All jobs take the folder of their checkpoint from the caller, or from ``spark.checkpoint.dir``.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,10 @@ from aidlens.session import shared_folder
 from aidlens.sources import evidence_store
 
 
+# Where a line came from: the order in which equal ids arrived.
+ARRIVAL = {"_file_time": "file_modification_time", "_file": "file_path", "_block": "file_block_start"}
+
+
 def _start(writer, name: str, spark: SparkSession, checkpoint: str | None, every: str | None) -> StreamingQuery:
     folder = checkpoint or f"{shared_folder(spark)}/stream-{name}"
     trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -20,38 +25,32 @@ def _start(writer, name: str, spark: SparkSession, checkpoint: str | None, every
 
 
 def evidence_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
-    """Records from JSON lines files as they land."""
+    """Records from JSON lines files as they land, each with the file's time, path and block."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing)
-    return evidence_store.parse_lines(lines)
+    place = [F.col(f"_metadata.{field}").alias(name) for name, field in ARRIVAL.items()]
+    return evidence_store.parse_lines(lines.select("value", *place), *ARRIVAL)
 
 
 def ingest_evidence(
-    records: DataFrame, store: str, checkpoint: str | None = None, every: str | None = None
+    records: DataFrame, store: str, checkpoint: str | None = None, every: str | None = None, ids_by_day: bool = False
 ) -> StreamingQuery:
     """Insert-if-absent into the record table, over its whole history.
 
-    A batch that is replayed after a failure adds nothing twice, because each append is an
-    anti-join against what is there. One writer per table.
+    Of several records with one id the first line of the first file stays. Late and undated
+    records count like others, as each append is an anti-join against what the table holds; for
+    the same reason a batch that is replayed after a failure adds nothing twice. There is no
+    state beside the table: with ``ids_by_day`` a batch reads only the days it has records of.
+    One writer per table.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        evidence_store.append_new(batch, store)
+        numbered = batch.withColumn("_line", F.monotonically_increasing_id())
+        arrival = [c for c in ARRIVAL if c in batch.columns]
+        evidence_store.append_new(numbered, store, *arrival, "_line", ids_by_day=ids_by_day)
 
     return _start(records.writeStream.foreachBatch(append), "evidence", records.sparkSession, checkpoint, every)
 
 
-def recent_unique_evidence(records: DataFrame, within: str = "7 days") -> DataFrame:
-    """Drops repeats of a record id seen within ``within``, with state bounded by it.
-
-    Records older than the watermark, and those without a readable time, are dropped as late.
-    """
-    return (
-        records.withColumn("observed_ts", F.try_to_timestamp("observed_at"))
-        .withWatermark("observed_ts", within)
-        .dropDuplicatesWithinWatermark(["record_id"])
-    )
-
-
 def hazard_files(
     spark: SparkSession, landing: str, files_per_batch: int = 1000, document_per_file: bool = True
 ) -> DataFrame:
@@ -65,14 +64,27 @@ def hazard_files(
     return feeds.normalize_hazards(feed)
 
 
-def unique_hazards(hazards: DataFrame, within: str = "7 days") -> DataFrame:
-    """Drops repeats of an event id. Hazards older than the watermark are dropped as late."""
-    return (
-        hazards.withColumn("event_ts", F.col("time").cast("timestamp"))
-        .withWatermark("event_ts", within)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("event_ts")
-    )
+def ingest_hazards(hazards: DataFrame, store: str, checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Insert-if-absent of hazards by event id, over all that is stored.
+
+    However late a hazard comes, it is stored once, and the result does not depend on the order
+    of the files. Equal ids within a batch keep the row of least content. One writer per table.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        new = feeds.insert_new_hazards(batch, _hazard_store(batch.sparkSession, store, batch))
+        new.write.mode("append").parquet(store)
+
+    return _start(hazards.writeStream.foreachBatch(append), "hazards", hazards.sparkSession, checkpoint, every)
+
+
+def _hazard_store(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
 
 
 def append_parquet(

@@ -141,5 +141,7 @@ def test_append_new_counts_and_repeats(rows, tmp_path):
 def test_lines_round_trip(rows, tmp_path):
     df = built(rows, record(1, deaths=4), record(2, title="Línea\n\"dos\"")).drop("seq")
     evidence_store.append_lines(df, str(tmp_path / "lines"))
+    for r in df.sparkSession.read.text(str(tmp_path / "lines")).collect():
+        assert json.loads(r.value)["raw"] == {}
     back = evidence_store.read_lines(df.sparkSession, str(tmp_path / "lines"))
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)

@@ -40,6 +40,19 @@ def test_recent_hazards_window_and_limit(rows):
     assert tuple(feeds.hazard_peak(df.filter("false")).first()) == (0, None, None)
 
 
+def test_hazard_peak_of_text_ids_counts_all(rows):
+    data = [(f"us{k:05d}", f"p{k}", 5.0 + (k in (3, 620)), "2024-01-17 00:00:00") for k in range(700)] + [("us9", "none", None, "2024-01-17 00:00:00")]
+    df = rows(data, "event_id string, place string, severity double, t string").withColumn("time", F.col("t").cast("timestamp_ntz"))
+    peak = feeds.hazard_peak(feeds.strong_hazards(df, "2024-01-18 00:00:00", days=3)).first()
+    assert (peak.events, peak.peak_severity, peak.peak_place) == (700, 6.0, "p3")
+
+
+def test_raw_json_names_its_source(rows):
+    df = feeds.raw_json_status(rows([("{}",), ("<",)], "payload string"), source="S", label="L", reference="R")
+    assert sorted((r.status, r.source, r.label, r.reference) for r in df.filter("status = 'ok'").collect()) == [("ok", "S", "L", "R")]
+    assert [(r.source, r.label, r.reference) for r in df.filter("status <> 'ok'").collect()] == [("S", "L", None)]
+
+
 def test_reports(spark, tmp_path):
     doc = {"data": [
         {"fields": {"title": "T", "url": "u1", "date": {"created": "2026-01-02"}, "primary_country": [{"name": "X"}, {"name": "Y"}], "source": [{"name": "S"}]}},

@@ -14,7 +14,7 @@ def con():
     return compare.duck(SMALL)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_query(spark, con, name):
     _, complaints = compare.differences(spark, con, QUERIES[name], ORACLES[name], SMALL)
     assert not complaints

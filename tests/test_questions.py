@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from aidlens.operators import questions, reports, triage
 from aidlens.operators.questions import BLOCK
 from samples import REQUEST_COLUMNS, REQUESTS
@@ -146,3 +148,27 @@ def test_answers_quote_figures(rows, spark):
     assert len(answer) == 1 and "**4 critical request(s)**, **13 open request(s)**, and **2,355 affected people**" in answer[0].answer
     none = spark.sql("SELECT 0 AS events, cast(NULL AS double) AS peak_severity, cast(NULL AS string) AS peak_place")
     assert "**0 event(s)**, highest **not available** near **not available**" in reports.hazard_answer(asked, none).first().answer
+
+
+def test_reports_of_both_routes_word_for_word(rows):
+    asked = rows([("q1", "flood", "flood", "flood"), ("q2", "cyclone", "cyclone", "domain_report"), ("q3", "general", "world issue", "help")],
+                 "text string, domain string, label string, route string")
+    got = {r.question: r for r in reports.situation_report(reports.report_inputs(asked)).collect()}
+    assert set(got) == {"q1", "q2"}
+    assert got["q1"].evidence_status == "Disaster domain recognized; connect the current official bulletin before treating the report as live"
+    assert got["q1"].confidence == "Low without a named location and current impact bulletin"
+    assert got["q2"].evidence_status == "Domain recognized; source adapter required for live impact figures"
+    assert got["q2"].confidence == "Low until a current source record is attached"
+    assert "**What may be happening:** The agent has identified this as a cyclone question. It should combine hazard observations" in got["q2"].report
+    assert "**Recommended response workflow:** Confirm the exact city, district, block, or village; check the newest" in got["q2"].report
+    assert got["q2"].report.endswith(
+        "**Limitations:** The agent will not invent affected people, deaths, injuries, or responders. "
+        "Add a location and time range for a source-bounded answer."
+    )
+
+
+def test_white_space_of_any_kind_is_blank(rows):
+    from aidlens.functions import text
+
+    df = rows([("\t",), (" \u00a0\n",), (" x ",)], "v string").select(text.display_value(F.col("v")).alias("s"))
+    assert sorted(r.s for r in df.collect()) == [" x ", "Not reported by the connected source", "Not reported by the connected source"]

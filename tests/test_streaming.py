@@ -31,12 +31,31 @@ def test_ingest_inserts_once(spark, rows, tmp_path):
     assert run(spark, tmp_path).count() == 3
 
 
-def test_bounded_state(spark, rows, tmp_path):
-    land(tmp_path / "landing", "a.jsonl", records_of(rows, record(1), record(2), record(3, title="Other")))
-    lines = ingest.evidence_lines(spark, str(tmp_path / "landing"))
-    unique = ingest.recent_unique_evidence(lines)
-    ingest.append_parquet(unique, str(tmp_path / "out"), "recent", str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+def test_the_first_line_of_an_id_stays(spark, rows, tmp_path):
+    one = records_of(rows, *[record(k, title=f"T{k}", deaths=k) for k in range(40)])
+    again = [{**r, "deaths": r["deaths"] + 100} for r in one]
+    land(tmp_path / "landing", "a.jsonl", [x for pair in zip(one, again) for x in pair])
+    got = run(spark, tmp_path)
+    assert sorted(r.deaths for r in got.collect()) == list(range(40))
+
+
+def test_late_and_undated_records_are_stored_once(spark, rows, tmp_path):
+    late = records_of(rows, record(1, observed_at="2020-01-01T00:00:00Z"), record(2, observed_at=""), record(3, observed_at="no date"))
+    land(tmp_path / "landing", "a.jsonl", records_of(rows, record(9)))
+    for name in ("b.jsonl", "c.jsonl"):
+        land(tmp_path / "landing", name, late)
+        got = run(spark, tmp_path)
+    assert sorted(r.observed_at for r in got.collect()) == sorted(["2020-01-01T00:00:00Z", "", "no date", records_of(rows, record(9))[0]["observed_at"]])
+
+
+def test_nothing_new_writes_no_file(spark, rows, tmp_path):
+    batch = evidence.build_records(rows([record(1)], EVIDENCE_COLUMNS), "2026-01-01T00:00:00+00:00")
+    for by_day in (False, True):
+        store = str(tmp_path / f"store{by_day}")
+        assert evidence_store.append_new(batch, store, ids_by_day=by_day) == 1
+        files = sorted(str(p) for p in (tmp_path / f"store{by_day}").rglob("*.parquet"))
+        assert evidence_store.append_new(batch, store, ids_by_day=by_day) == 0
+        assert sorted(str(p) for p in (tmp_path / f"store{by_day}").rglob("*.parquet")) == files
 
 
 def test_hazards_drop_repeats(spark, tmp_path):
@@ -45,6 +64,8 @@ def test_hazards_drop_repeats(spark, tmp_path):
     feature = lambda i: {"id": f"e{i}", "properties": {"mag": 5.0, "time": 1700000000000 + i}, "geometry": {"coordinates": [1, 2, 3]}}
     (folder / "a.json").write_text(json.dumps({"features": [feature(1), feature(2)]}))
     (folder / "b.json").write_text(json.dumps({"features": [feature(2), feature(3)]}))
-    hazards = ingest.unique_hazards(ingest.hazard_files(spark, str(folder), files_per_batch=1))
-    ingest.append_parquet(hazards, str(tmp_path / "out"), "h", str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2", "e3"]
+    old = {**feature(4), "properties": {"mag": 5.0, "time": 1}}  # decades late
+    (folder / "c.json").write_text(json.dumps({"features": [old, feature(1)]}))
+    hazards = ingest.hazard_files(spark, str(folder), files_per_batch=1)
+    ingest.ingest_hazards(hazards, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2", "e3", "e4"]
