@@ -7,8 +7,10 @@ so slot ``s`` lies in shard ``s // shard_rows`` at place ``s % shard_rows``, and
 stopped at a slot goes on from there.
 """
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from aidlens.llm import common, tokens
 _TOKENS = "doc_id long, tie long, n_sequences long, ids binary"
 _NUMBERED = "row long, part int, first long, n_sequences long"
 _ROWS = "slot long, shard long, doc_id long, piece int, number long, length int, payload binary"
+#: The task that wrote a row, from the row's number.
+_WRITER = "CAST(shiftright(row, 33) AS int) AS writer"
 SHOWN = ["doc_id", "piece", "number", "slot", "shard", "place", "length", "ids_crc32"]
 
 
@@ -82,23 +86,55 @@ def materialise(
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "order")
     path = f"{folder or tokens.folder()}/{tokens.WORD_BPE}"
-    held = scratch.table(_tokenised(docs, path, stride, end), "tokens")
-    # numbers: small rows are ranged by id and summed inside ranges; ranges are summed over
-    ranged = held.select("doc_id", "tie", "row", "n_sequences").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    numbered = ranged.select("row", F.spark_partition_id().alias("part"), "n_sequences").mapInArrow(_running, _NUMBERED)
-    numbered = scratch.table(numbered, "numbers")
-    parts = numbered.groupBy("part").agg(F.sum("n_sequences").alias("n"))  # one row a partition
-    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    total = numbered.agg(F.sum("n_sequences")).first()[0] or 0
-    firsts = numbered.join(parts, "part").select("row", (F.col("before") + F.col("first")).alias("first"))
-    rows = held.select("row", "doc_id", "ids").join(firsts, "row").mapInArrow(_cutter(total, key, stride, shard_rows), _ROWS)
+    name = f"order_{uuid.uuid4().hex}"
+    _bucketed(_tokenised(docs, path, stride, end), f"{scratch.folder}/tokens", name)
+    try:
+        held = spark.table(name)
+        # numbers: small rows are ranged by id and summed inside ranges; ranges are summed over
+        ranged = held.select("doc_id", "tie", "row", "n_sequences").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+        numbered = ranged.select("row", F.spark_partition_id().alias("part"), "n_sequences").mapInArrow(_running, _NUMBERED)
+        numbered = scratch.table(numbered, "numbers")
+        parts = numbered.groupBy("part").agg(F.sum("n_sequences").alias("n"))  # one row a partition
+        before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+        parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+        total = numbered.agg(F.sum("n_sequences")).first()[0] or 0
+        firsts = numbered.join(parts, "part").selectExpr(_WRITER, "row", "before + first AS first")
+        with _buckets_stay(spark):
+            joined = held.select("writer", "row", "doc_id", "ids").join(firsts.hint("shuffle_hash"), ["writer", "row"])
+            _write_shards(joined.mapInArrow(_cutter(total, key, stride, shard_rows), _ROWS), store, total, shard_rows)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return read(spark, store, shard_rows=shard_rows)
+
+
+def _bucketed(held: DataFrame, path: str, name: str) -> None:
+    """Write token rows where they were made, as a table bucketed by the task that wrote them.
+
+    Each task's rows are one bucket, so nothing is moved, and the numbers, which are small, come
+    to the ids by task and row. The table lies at ``path``; only its name is in the catalog.
+    """
+    buckets = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held.selectExpr("*", _WRITER).write.option("compression", "zstd").option("path", path).bucketBy(buckets, "writer").saveAsTable(name)
+
+
+@contextmanager
+def _buckets_stay(spark: SparkSession) -> Iterator[None]:
+    """Let a join on more columns than a table is bucketed by keep the table's buckets."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _write_shards(rows: DataFrame, store: str, total: int, shard_rows: int) -> None:
     shards = max(1, -(-total // shard_rows))
     (
         rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
         .write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(store)
     )
-    return read(spark, store, shard_rows=shard_rows)
 
 
 def _cutter(total: int, key: int, stride: int, shard_rows: int):
