@@ -80,24 +80,25 @@ class Matcher:
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best, then first, match of each item in the normal text."""
         found: dict[int, tuple[int, int, int]] = {}
-        checked: dict[int, int] = {}  # per item, how far starts have been settled
+        settled: set[tuple[int, int]] = set()  # items and cells of starts, whatever order hits come in
         for last, (length, who) in self.automaton.iter(text):
             for k, at in who:
                 item_id, item, budget, peq, back = self.items[k]
-                start = last + 1 - length - at
-                if found.get(k, (1,))[0] == 0 or start <= checked.get(k, -1 - budget):
+                start, wide = last + 1 - length - at, budget // 2 + 1
+                if found.get(k, (1,))[0] == 0 or (k, start // wide) in settled:
                     continue
-                low = max(0, start - budget)
-                window = text[low : start + len(item) + 2 * budget + 1]
-                checked[k] = start + budget // 2 if budget > 1 else start
                 if text.startswith(item, max(start, 0)):
                     found[k] = (0, max(start, 0), max(start, 0) + len(item))
                     continue
+                settled.add((k, start // wide))
+                first = start // wide * wide
+                low = max(0, first - budget)
+                window = text[low : first + wide + len(item) + budget]
                 distance, end = nearest(peq, len(item), window)
-                if distance <= budget and distance < found.get(k, (budget + 1,))[0]:
-                    back_window = window[:end][::-1]
-                    _, length_back = nearest(back, len(item), back_window)
-                    found[k] = (distance, low + end - length_back, low + end)
+                if distance <= found.get(k, (budget,))[0]:
+                    _, length_back = nearest(back, len(item), window[:end][::-1])
+                    place = (distance, low + end - length_back, low + end)
+                    found[k] = min(found.get(k, place), place)
         return [(self.items[k][0], *f) for k, f in found.items()]
 
 

@@ -213,6 +213,22 @@ def test_matches_equal_brute_force():
         assert all(least_distance(dict(items)[k], text[s:e])[0] == d for k, d, s, e in found)
 
 
+def test_items_of_repeated_phrases_are_not_lost():
+    """Pieces that occur again name false places, in any order, before the true one."""
+    rng = random.Random(3)
+    phrases = ["".join(rng.choice("abcdefgh ") for _ in range(12)) for _ in range(12)]
+    some = lambda n: "".join(rng.choice(phrases) for _ in range(n))
+    for _ in range(400):
+        item = decontamination.normal(some(12))
+        copy = list(item)
+        for _ in range(6):
+            copy[rng.randrange(len(copy))] = rng.choice(["", "a", "zz"])
+        text = decontamination.normal(some(6) + "".join(copy) + some(6))
+        distance = decontamination.nearest(decontamination.masks(item), len(item), text)[0]
+        want = [(1, distance)] if distance <= int(0.06 * len(item)) else []
+        assert [m[:2] for m in decontamination.Matcher([(1, item)], 0.06).matches(text)] == want
+
+
 def test_items_in_blocks_and_odd_rows(spark, docs_of, odd):
     item = prose(30, 11)
     changed = item.replace(" ", "\n", 3).upper()[:-1] + "x"
