@@ -7,7 +7,9 @@ regions around those, which are decoded one by one, exactly. Weights are learned
 regions whose entities are the pattern's spans, and from spans that fail their check.
 """
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -28,6 +30,9 @@ PATTERNS = {
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches as the ip pattern, as each begins and ends with a whole run of digits, but a
+#: long run is tried once and not from each of its digits.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 MOST = 24  # atoms of a span
 MARGIN = 48  # code points that a region has beside its first and last digit or @
 GAP = 8  # longest way between two of them within a region
@@ -66,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
         if kind == "email":
             out += [(*m, k) for m in _emails(text)]
             continue
-        for m in PATTERNS[kind].finditer(text):
+        for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text):
             if valid(kind, m[0]):
                 out.append((m.start(), m.end(), k))
     return sorted(out, key=lambda s: (s[0], s[2]))
@@ -161,18 +166,22 @@ class Field:
         return [(i, j, f, self.scores(f)) for i in range(n) for j in range(i + 1, min(n, i + MOST) + 1) if (f := features(atoms, i, j))]
 
     def decode(self, atoms: list[str]) -> list[Span]:
-        """The best joint choice of segments, as atom positions; what lies between scores 0."""
-        by_end = defaultdict(list)
-        for i, j, _, s in self.segments(atoms):
-            k = max(range(len(KINDS)), key=s.__getitem__)
-            if s[k] > 0:
-                by_end[j].append((i, k, s[k]))
+        """The best joint choice of segments, as atom positions; what lies between scores 0.
+
+        Segments are scored as the programme reaches their end, so a long region costs memory
+        for its atoms only.
+        """
         best, back = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1)
         for j in range(1, len(atoms) + 1):
             best[j] = best[j - 1]
-            for i, k, s in by_end[j]:
-                if best[i] + s > best[j] + 1e-12:
-                    best[j], back[j] = best[i] + s, (i, k)
+            for i in range(max(0, j - MOST), j):
+                feats = features(atoms, i, j)
+                if not feats:
+                    continue
+                s = self.scores(feats)
+                k = max(range(len(KINDS)), key=s.__getitem__)
+                if s[k] > 0 and best[i] + s[k] > best[j] + 1e-12:
+                    best[j], back[j] = best[i] + s[k], (i, k)
         out, j = [], len(atoms)
         while j:
             if back[j]:
@@ -295,8 +304,13 @@ def fit(docs: DataFrame, sample: int = 600) -> Field:
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The patterns' spans, and those with the field's that overlap none of them."""
     base = base_spans(text)
-    extra = [s for s in field.spans(text) if not any(s[0] < e and b < s[1] for b, e, _ in base)]
-    return base, base + extra
+    starts, reach = [b for b, _, _ in base], list(itertools.accumulate((e for _, e, _ in base), max))
+
+    def meets(start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    return base, base + [s for s in field.spans(text) if not meets(s[0], s[1])]
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:

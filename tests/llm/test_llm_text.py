@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -75,6 +76,16 @@ def test_decoding_is_the_best_of_all_segmentations(field):
     assert rng
 
 
+def test_long_runs_and_long_regions_cost_little(field):
+    assert pii.base_spans("7" * 300_000 + " 1.2.3.4.5 " + "1." * 50_000)[0] == (300_001, 300_008, pii.KINDS.index("ip"))
+    text = " ".join(str(100 + k % 900) for k in range(3_000))
+    tracemalloc.start()
+    base, spans = pii.all_spans(text, field)
+    assert tracemalloc.get_traced_memory()[1] < 16_000_000
+    tracemalloc.stop()
+    assert [s for s in spans if s not in base and any(s[0] < e and b < s[1] for b, e, _ in base)] == []
+
+
 def test_the_field_finds_what_the_patterns_merge(field):
     a, b = "4111111111111111", "187.50.237.187"
     base, spans = pii.all_spans(f"pay {a} {a} today, host {b} ok", field)
