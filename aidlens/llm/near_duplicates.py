@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aidlens.llm import common
@@ -21,7 +21,8 @@ from aidlens.llm import common
 WIDTH = 5
 NO_ID = -(1 << 63)  # stands for a null id inside the operator
 SEED = 5
-_ROWS = "id long, k1 long, k2 long, n_shingles long, prefixes array<long>, rests array<int>, sketch binary"
+_KEY = ["id", "h1", "h2"]  # an id and its text; rows that share both are copies
+_ROWS = "id long, h1 long, h2 long, k1 long, k2 long, n_shingles long, prefixes array<long>, rests array<int>, sketch binary"
 _EDGE = "a long, b long"
 
 
@@ -73,24 +74,24 @@ class Signer:
 
 
 def signed_rows(docs: DataFrame, signer: Signer) -> DataFrame:
-    """One row a document: id, the key of its set, and its signature (null without a word)."""
+    """One row a document: id, hashes of its text, the key of its set, and its signature (null without a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
         for batch in batches:
             rows = []
-            for id_, text in zip(batch.column("id").to_pylist(), common.texts(batch)):
+            for *key, text in zip(*[batch.column(c).to_pylist() for c in _KEY], common.texts(batch)):
                 values = shingles(common.small_words(text), hashes)
                 if not len(values):
-                    rows.append((id_, 0, 0, 0, None, None, None))
+                    rows.append((*key, 0, 0, 0, None, None, None))
                     continue
                 digest = common.xxhash.xxh3_128_digest(values.tobytes())
                 k1, k2 = (int(k) for k in np.frombuffer(digest, "<i8"))
                 prefixes, rests, sketch = signer.sign(values)
-                rows.append((id_, k1, k2, len(values), prefixes.tolist(), rests.tolist(), sketch))
+                rows.append((*key, k1, k2, len(values), prefixes.tolist(), rests.tolist(), sketch))
             if rows:
-                types = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-                names = ["id", "k1", "k2", "n_shingles", "prefixes", "rests", "sketch"]
+                types = [*[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+                names = [*_KEY, "k1", "k2", "n_shingles", "prefixes", "rests", "sketch"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.mapInArrow(run, _ROWS)
@@ -303,69 +304,76 @@ def verified(members: DataFrame, threshold: tuple[int, int], block: int, block_c
     return met.mapInArrow(_verifier(threshold), "node long, other long, links long")
 
 
-def join(
+def _text_key() -> list[Column]:
+    """The columns of ``_KEY``: the id, and 128 bits of the whole text."""
+    id_, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("string")
+    return [id_, F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _classes(
     docs: DataFrame, threshold: tuple[int, int] = (4, 5), trees: int = 20, longest: int = 6, target: float = 0.9999,
     near: float = 0.5, same: float = 0.85, block: int = 2000, block_chars: int = 8_000_000,
-) -> DataFrame:
-    """One row for each row of ``docs``: its class, the class's links, its group.
+) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and the classes with their size, links, and leads.
 
-    ``class_id`` is the least doc_id with the same set of shingles and ``class_size`` the rows of
-    that class; ``n_links`` counts the other classes at the threshold or above; ``group_id`` is
-    the least doc_id that it is connected with by links. Words are compared with A-Z in small
-    letters. A text of one to four words is one shingle; a null, empty or blank text is alone.
-    A null doc_id comes before all others and stays null. Repeated rows are copies.
+    The lead of a class is its least (id, text hashes), the lead of a group (null without a
+    link) that of its least class. No two classes share a lead, whatever ids they share.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near")
     depth = matched_depth(threshold[0] / threshold[1], trees, longest, target)
-    one = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    one = docs.select(*[c.alias(k) for k, c in zip(_KEY, _text_key())], F.col("text").cast("string").alias("text"))
     rows = scratch.table(signed_rows(one, Signer(trees, longest, depth)), "rows")
     keyed = rows.filter("n_shingles > 0")
     first = ["prefixes", "rests", "sketch"]
-    classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), *[F.any_value(c).alias(c) for c in first])
+    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct(*_KEY)).alias("lead"), F.count("*").alias("class_size"), *[F.any_value(c).alias(c) for c in first])
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     groups = scratch.table(components(candidates(classes, scratch, near, same, block), scratch, "candidate"), "groups")
-    wanted = groups.join(classes.select("node", "k1", "k2", F.col("class_id").alias("id")), "node")
-    held = one.join(wanted, "id").filter("text is not null")
-    members = held.mapInArrow(_own_text, "root long, node long, text string").dropDuplicates(["node"])
+    wanted = groups.join(classes.select("node", "lead.*"), "node")
+    members = one.join(wanted, _KEY).select("root", "node", "text").dropDuplicates(["node"])
     links = scratch.table(verified(scratch.table(members, "members"), threshold, block, block_chars), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = scratch.table(components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch, "link"), "roots")
-    least = roots.join(classes.select("node", "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    grouped = roots.join(least, "root").select("node", "group_id")
-    known = classes.select("k1", "k2", "node", "class_id", "class_size").join(counts, "node", "left").join(grouped, "node", "left")
+    least = roots.join(classes.select("node", "lead"), "node").groupBy("root").agg(F.min("lead").alias("group_lead"))
+    grouped = roots.join(least, "root").select("node", "group_lead")
+    return rows, classes.select("k1", "k2", "node", "lead", "class_size").join(counts, "node", "left").join(grouped, "node", "left")
+
+
+def join(docs: DataFrame, **settings) -> DataFrame:
+    """One row for each row of ``docs``: its class, the class's links, its group.
+
+    ``class_id`` is the least doc_id with the same set of shingles and ``class_size`` the rows of
+    that class; ``n_links`` counts the other classes at the threshold or above; ``group_id`` is
+    the least doc_id that it is connected with by links. Words are compared with A-Z in small
+    letters. A text of one to four words is one shingle; a null, empty or blank text is alone.
+    A null doc_id comes before all others and stays null. Repeated rows are copies.
+
+    Where an id is null or stands for several texts, unrelated classes can show the same
+    ``class_id`` or ``group_id``. ``class_key`` and ``group_key``, the least row's id and text
+    hashes, are equal only within a class or group; they are null without a word.
+    """
+    rows, classes = _classes(docs, **settings)
+    known = classes.select("k1", "k2", "class_size", "n_links", "lead", F.coalesce("group_lead", "lead").alias("group_lead"))
     out = rows.select("id", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(known, ["k1", "k2"], "left")
     real = lambda c: F.when(c != NO_ID, c)
-    class_id = F.coalesce("class_id", "id")
+    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(":", real(F.col(f"{c}.id")), F.hex(f"{c}.h1"), F.hex(f"{c}.h2")))
     return out.select(
-        real(F.col("id")).alias("doc_id"), real(class_id).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), real(F.coalesce("group_id", class_id)).alias("group_id"),
+        real(F.col("id")).alias("doc_id"), real(F.coalesce("lead.id", "id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), real(F.coalesce("group_lead.id", "id")).alias("group_id"),
+        key("lead").alias("class_key"), key("group_lead").alias("group_key"),
     )
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the class's set; an id may stand for several texts."""
-    hashes = common.WordHashes()
-    for batch in batches:
-        own = []
-        for text, k1, k2 in zip(batch.column("text").to_pylist(), batch.column("k1").to_pylist(), batch.column("k2").to_pylist()):
-            values = shingles(common.small_words(text), hashes)
-            found = np.frombuffer(common.xxhash.xxh3_128_digest(values.tobytes()), "<i8") if len(values) else (None, None)
-            own.append(k1 == found[0] and k2 == found[1])
-        yield batch.filter(pa.array(own, pa.bool_())).select(["root", "node", "text"])
-
-
 def first_of_groups(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each group: the one of the least id; all columns stay.
+    """``docs`` with one row of each group: its lead, the one of the least id; all columns stay.
 
-    Of repeated rows with that id one stays, any of them where they differ. A null id is the
-    least; rows without a word are all kept.
+    A null id is the least; of several texts of that id the least hash leads. Of rows that share
+    id and text one stays, any of them where other columns differ. Rows without a word are all kept.
     """
-    found = join(docs, **settings)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    # an id stays if it leads its group, or if its text stands alone
-    leads = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_near_id")).distinct()
-    kept = docs.withColumn("_near_id", id_).join(leads, "_near_id", "left_semi")
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    words = kept.filter(~blank).dropDuplicates(["_near_id"])
-    return words.unionByName(kept.filter(blank)).drop("_near_id")
+    names = [f"_near_{k}" for k in _KEY]
+    _, classes = _classes(docs, **settings)
+    leads = classes.select(F.coalesce("group_lead", "lead").alias("lead")).select(*[F.col(f"lead.{k}").alias(n) for k, n in zip(_KEY, names)]).distinct()
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    words = docs.filter(~blank).select("*", *[c.alias(n) for c, n in zip(_text_key(), names)])
+    words = words.join(leads, names, "left_semi").dropDuplicates(names).drop(*names)
+    return words.unionByName(docs.filter(blank))

@@ -93,6 +93,21 @@ def test_first_of_groups(odd, docs_of):
     assert sorted(r.doc_id for r in near_duplicates.first_of_groups(docs_of(rows)).collect()) == [0, 12, 13, 14, 15, 16]
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_unrelated_texts_of_one_id_stay_apart(docs_of, shared):
+    near = variants(8, 3, 1)
+    alone = [prose(80, k) for k in range(300, 306)]
+    # one id of many texts, of which one is near another id's text, and of which one is repeated
+    rows = [(shared, t) for t in [*alone, alone[0], near[0]]] + [(9, near[1]), (10, near[2]), (11, prose(80, 311))]
+    df = docs_of(rows, extra=True)
+    assert joined(df) == brute(rows)
+    found = near_duplicates.join(df).collect()
+    assert len({r.class_key for r in found}) == 10
+    assert len({r.group_key for r in found}) == 8
+    kept = near_duplicates.first_of_groups(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([(str(shared), t) for t in [*alone, near[0]]] + [("11", rows[-1][1])])
+
+
 def test_depth_shortens_to_the_target():
     assert near_duplicates.matched_depth(0.8, 20, 6, 0.9999) == 4
     assert near_duplicates.matched_depth(0.8, 20, 6, 0.5) == 6
