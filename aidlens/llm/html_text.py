@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 from aidlens.llm import common
 
-#: Elements whose content is never text.
-RAW = frozenset("script style noscript template iframe svg textarea title xmp math object canvas audio video".split())
+#: Elements that HTML reads as raw text up to their end tag, or to the end of the page.
+RAW = frozenset("script style noscript iframe textarea title xmp".split())
+#: Other elements whose content is no article text; they end with their parent at the latest.
+EMBEDDED = frozenset("template svg math object canvas audio video".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements within svg and math that may hold blocks; any other block there ends svg and math.
+INNER = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: Elements that hold no article text.
 ASIDE = frozenset("head nav header footer aside form menu dialog button select option fieldset label input".split())
 BLOCKS = frozenset(
@@ -30,9 +35,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
-#: Words in a class, id or role that tell of something beside the article.
+#: Words in a class, id or role that tell of something beside the article; not "has-sidebar" or "no-comments".
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|nav|navigation|navbar|menu|sidebar|footer|header|masthead"
+    r"(?:^|[\s_-])(?<!has[_-])(?<!no[_-])(?<!with[_-])(?<!without[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|nav|navigation|navbar|menu|sidebar|footer|header|masthead"
     r"|notice|cookies?|consent|popup|modal|social|share|sharing|subscribe|newsletter|breadcrumbs?|related|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
@@ -44,10 +49,10 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", re.I)
 class Block:
     """A block element: child blocks and text runs in page order, and what they add up to."""
 
-    __slots__ = ("name", "parent", "parts", "beside", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("name", "parent", "parts", "beside", "named", "links", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, name: str, parent: "Block | None", beside: bool = False):
-        self.name, self.parent, self.beside = name, parent, beside
+    def __init__(self, name: str, parent: "Block | None", beside: bool = False, named: bool = False, links: int = 0):
+        self.name, self.parent, self.beside, self.named, self.links = name, parent, beside, named, links
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
@@ -60,6 +65,7 @@ def parse(page: str) -> Block:
     """The page's blocks. What is left open ends with its parent, stray end tags are nothing."""
     root = node = Block("html", None)
     at, links = 0, 0
+    last: dict[str, int] = {}  # where the last end tag of an embedded element is
 
     def text(chunk: str) -> None:
         if chunk and not chunk.isspace():
@@ -80,12 +86,22 @@ def parse(page: str) -> Block:
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
-            elif name in BLOCKS:
+            elif name in BLOCKS or name in EMBEDDED or name in INNER:
                 up = node
                 while up is not root and up.name != name:
                     up = up.parent
                 if up is not root:
-                    node, links = up.parent, 0
+                    node, links = up.parent, up.links
+            continue
+        closed = (m[3] or "").endswith("/")
+        if closed and (name in FOREIGN or name in RAW and in_foreign(node)):
+            continue
+        if name in EMBEDDED or name in INNER and in_foreign(node):
+            if name not in last:
+                ends_at = [e.start() for e in re.finditer(rf"</{name}\s*>", page, re.I)]
+                last[name] = ends_at[-1] if ends_at else -1
+            if last[name] >= at:  # one that is never ended holds nothing
+                node = Block(name, node, links=links)  # no part of its parent
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -99,21 +115,61 @@ def parse(page: str) -> Block:
             elif name == "br":
                 node.parts.append("\n")
             continue
+        while node.name in FOREIGN:
+            node = node.parent
         ends = ENDS.get(name, ())
         if node.name == "p" or node.name in ends:
             while node.name == "p" or node.name in ends:
                 node = node.parent
         links = 0
         named = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
-        beside = name in ASIDE or bool(named and BESIDE.search(named)) or bool(m[3] and _HIDDEN.search(m[3]))
-        child = Block(name, node, beside and name not in ("html", "body"))
+        page_part = name not in ("html", "body")
+        beside = page_part and (name in ASIDE or bool(m[3] and _HIDDEN.search(m[3])))
+        child = Block(name, node, beside, page_part and bool(named and BESIDE.search(named)))
         node.parts.append(child)
         if name not in VOID:
             node = child
     text(page[at:])
+    settle(root)
     return root
 
 
+def in_foreign(node: Block | None) -> bool:
+    while node is not None and node.name not in FOREIGN:
+        node = node.parent
+    return node is not None
+
+
+def settle(root: Block) -> None:
+    """Leave out the blocks that are named as beside the article, but not where most text is.
+
+    Each such block, without those inside it, is a region, and so is the rest of the page. The
+    region of most characters outside links stays, with the blocks that it lies in. Where the
+    rest of the page has text in an article or main element, only regions in it can outweigh it.
+    """
+    weight, within, told = {root: 0}, {root}, False
+    todo = [(root, root, False)]
+    while todo:
+        node, region, inside = todo.pop()
+        if node.named:
+            region = node
+            weight[region] = 0
+            if inside:
+                within.add(region)
+        elif region is root and node.name in ("article", "main"):
+            inside = True
+        n = node.chars - node.link_chars
+        weight[region] += n
+        told = told or bool(n and inside and region is root)
+        todo += [(b, region, inside) for b in reversed(node.blocks())]
+    node, kept = max((r for r in weight if not told or r in within), key=weight.__getitem__), {root}
+    while node is not None:
+        kept.add(node)
+        node = node.parent
+    for region in weight:
+        region.beside = region not in kept
+
+
 def weigh(root: Block) -> list[Block]:
     """Sum characters and tags up the tree and set densities; blocks in page order."""
     order, todo = [], [root]

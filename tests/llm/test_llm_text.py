@@ -286,6 +286,35 @@ def test_article_of_the_given_pages(spark):
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+ARTICLE = "".join(f"<p>{prose(60, k)}</p>" for k in range(6))
+ARTICLE_TEXT = "\n".join(prose(60, k) for k in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><svg viewBox='0 0 1 1'/><div>{ARTICLE}</div></body>",
+    f"<body><math/><div>{ARTICLE}</div><svg><text>drawn</text></svg></body>",
+    f"<body><svg><style/><svg><text>a</text></svg><text>b</text></svg><div>{ARTICLE}</div></body>",
+    f"<body><svg><path d='M0'><div>{ARTICLE}</div><svg></svg></body>",
+    f"<body><svg><foreignObject><div>in a drawing</div></foreignObject></svg><div>{ARTICLE}</div></body>",
+    f"<body><div><video src='v'></div><div>{ARTICLE}</div><p><video>old browser</video></p></body>",
+    *(f"<body><{name}><div>{ARTICLE}</div></body>" for name in ("svg", "math", "object", "canvas", "audio", "video", "template")),
+])
+def test_embedded_elements_end_where_they_should(page):
+    assert html_text.main_text(page) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "article-header", "modal", "post with_related"])
+def test_names_do_not_exclude_the_article(name):
+    beside = "<div class='comments'><p>a comment on it</p></div>"
+    page = f"<body><div class='share'>share it</div><div class='{name}'><div>{ARTICLE}</div>{beside}</div></body>"
+    assert html_text.main_text(page) == ARTICLE_TEXT
+
+
+def test_a_drawing_within_a_line_does_not_part_it():
+    page = f"<body><div>{ARTICLE}<p>before <a href='/x'><svg><text>x</text></svg>a link</a> after</p></div></body>"
+    assert html_text.main_text(page) == f"{ARTICLE_TEXT}\nbefore a link after"
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<p>", "</p></div>", "<a href='x'>y", "<script>", "<!--", "<p>" * 3000, "<div>" * 3000 + "x", "a<b", "<p class=>x", "&#xZZ; &amp"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
