@@ -175,6 +175,18 @@ def test_held_out_verdicts(spark):
     assert sum(r.kept for r in good) >= 0.97 * len(good)
 
 
+def test_one_row_of_each_labelled_id_is_learnt(docs_of, spark, monkeypatch):
+    rows = [(k, prose(60, k)) for k in range(20)] + [(3, prose(60, 100 + k)) for k in range(50)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    seen = []
+    grow = quality_rules.grow
+    monkeypatch.setattr(quality_rules, "grow", lambda x, *rest: seen.append(x) or grow(x, *rest))
+    for some in (rows, rows[::-1]):
+        quality_rules.fit(docs_of(some), labels, sample=20)
+    assert [len(x) for x in seen] == [20, 20]
+    assert (seen[0] == seen[1]).all()
+
+
 def test_rules_over_odd_rows(odd, docs_of, spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.fit(odd, empty) is None
