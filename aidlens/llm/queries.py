@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aidlens.llm import (
-    common, decontamination, html_text, near_duplicates, packing, pii, quality_rules, suffix_tree, token_counts, training_order, weak_labels,
+    common, decontamination, html_text, middle, near_duplicates, oracles, packing, pair_index, pii, quality_rules, ranked_search, suffix_tree,
+    token_counts, training_order, weak_labels,
 )
 
 ORDER_KEY = 20_260_817
@@ -68,12 +69,35 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(docs, weak_labels.fit(docs))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = common.Scratch(spark, "ranked").table(ranked_search.build(_table(spark, sf_dir, "documents")), "index")
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = pair_index.decode(pair_index.encode(docs).drop("text"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_training_order, op3_pii, op4_quality_rules, op5_near_duplicates, op6_packing, op7_decontamination, op8_html_text,
-        op9_suffix_tree, op10_weak_labels,
+        op9_suffix_tree, op10_weak_labels, op11_middle, op12_ranked_search, op13_pair_index,
     )
 }
-#: None of these can be said in SQL: each has a brute-force test instead.
-ORACLES: dict[str, str] = {}
+#: Those that SQL can say; each other one has a brute-force test instead.
+ORACLES: dict[str, str] = oracles.ORACLES
