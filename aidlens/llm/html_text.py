@@ -9,6 +9,7 @@ is the threshold that other blocks beside that way must reach to belong to it.
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +21,9 @@ from aidlens.llm import common
 #: Elements that HTML reads as raw text up to their end tag, or to the end of the page.
 RAW = frozenset("script style noscript iframe textarea title xmp".split())
 #: Other elements whose content is no article text; they end with their parent at the latest.
-EMBEDDED = frozenset("template svg math object canvas audio video".split())
-FOREIGN = frozenset(("svg", "math"))
-#: Elements within svg and math that may hold blocks; any other block there ends svg and math.
-INNER = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+EMBEDDED = frozenset("template svg canvas audio video annotation annotation-xml".split())
+#: Elements within a drawing that may hold blocks; any other block there ends the drawing.
+INNER = frozenset("foreignobject desc".split())
 #: Elements that hold no article text.
 ASIDE = frozenset("head nav header footer aside form menu dialog button select option fieldset label input".split())
 BLOCKS = frozenset(
@@ -35,15 +35,55 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
-#: Words in a class, id or role that tell of something beside the article; not "has-sidebar" or "no-comments".
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?<!has[_-])(?<!no[_-])(?<!with[_-])(?<!without[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|nav|navigation|navbar|menu|sidebar|footer|header|masthead"
-    r"|notice|cookies?|consent|popup|modal|social|share|sharing|subscribe|newsletter|breadcrumbs?|related|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What a class, id or role says: a part of the page beside the article, an advert, or comments and notices.
+PART, ADVERT, NEVER = 1, 2, 3
+_NOT = r"(?<!has[_-])(?<!no[_-])(?<!with[_-])(?<!without[_-])"
+_PARTS = "nav|navigation|navbar|menu|sidebar|footer|header|masthead|modal|social|share|sharing|breadcrumbs?|related|complementary|contentinfo"
+_ADVERTS = r"ads?|advert\w*|banner|sponsor\w*|promo\w*|popup|subscribe|newsletter"
+_NEVER = "comments?|replies|notice|cookies?|consent"
+_BESIDE = re.compile(rf"(?:^|[\s_-]){_NOT}(?:{_PARTS}|{_ADVERTS}|{_NEVER})(?:$|[\s_-])", re.I)
+#: Adverts, comments and notices are named by the first or last word of a name; inside one they tell of a part.
+_EDGE = r"(?:(?:^|(?<=\s)){0}(?=$|[\s_-])|(?:^|(?<=[\s_-])){1}{0}(?=$|\s))"
+_ADVERT = re.compile(_EDGE.format(f"(?:{_ADVERTS})", _NOT), re.I)
+_COMMENT = re.compile(_EDGE.format(f"(?:{_NEVER})", _NOT), re.I)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTED = re.compile("[^>\"']*+")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", re.I)
+
+
+def named(attributes: str) -> int:
+    """What the names of an element tell of it; 0 if nothing."""
+    names = [a or b or c for a, b, c in _NAMES.findall(attributes)] if attributes else []
+    if not any(map(_BESIDE.search, names)):
+        return 0
+    return NEVER if any(map(_COMMENT.search, names)) else ADVERT if any(map(_ADVERT.search, names)) else PART
+
+
+class Tags:
+    """Finds where tags end, moving over the page once.
+
+    A ``>`` in quotes does not end a tag. Where quotes or the tag are never closed, quotes count
+    for nothing up to there, so that no stretch of the page is read again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.plain_to = page, 0
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` of a tag read up to ``at``; -1 if there is none."""
+        if at >= self.plain_to:
+            place = at
+            while True:
+                place = _QUOTED.match(self.page, place).end()
+                sign = self.page[place : place + 1]
+                if sign == ">":
+                    return place
+                close = self.page.find(sign, place + 1) if sign else -1
+                if close < 0:
+                    self.plain_to = place if sign else len(self.page) + 1
+                    break
+                place = close + 1
+        return self.page.find(">", at)
 
 
 class Block:
@@ -51,7 +91,7 @@ class Block:
 
     __slots__ = ("name", "parent", "parts", "beside", "named", "links", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, name: str, parent: "Block | None", beside: bool = False, named: bool = False, links: int = 0):
+    def __init__(self, name: str, parent: "Block | None", beside: bool = False, named: int = 0, links: int = 0):
         self.name, self.parent, self.beside, self.named, self.links = name, parent, beside, named, links
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -63,111 +103,153 @@ class Block:
 
 def parse(page: str) -> Block:
     """The page's blocks. What is left open ends with its parent, stray end tags are nothing."""
-    root = node = Block("html", None)
-    at, links = 0, 0
+    root = Block("html", None)
+    stack, opened = [root], Counter()
+    tags, at, links = Tags(page), 0, 0
     last: dict[str, int] = {}  # where the last end tag of an embedded element is
 
     def text(chunk: str) -> None:
         if chunk and not chunk.isspace():
             chunk = entities.unescape(chunk) if "&" in chunk else chunk
             n = len("".join(chunk.split()))
-            node.chars += n
+            stack[-1].chars += n
             if links:
-                node.link_chars += n
+                stack[-1].link_chars += n
         if chunk:
-            node.parts.append(chunk)
-
-    while m := _TOKEN.search(page, at):
+            stack[-1].parts.append(chunk)
+
+    def enter(block: Block) -> None:
+        stack.append(block)
+        opened[block.name] += 1
+
+    def leave() -> Block:
+        opened[stack[-1].name] -= 1
+        return stack.pop()
+
+    def ended(name: str) -> bool:
+        """Whether the element is ended at all after this place."""
+        if name not in last:
+            last[name] = max((e.start() for e in re.finditer(rf"</{name}\s*>", page, re.I)), default=-1)
+        return last[name] >= at
+
+    while m := _OPEN.search(page, at):
+        if m[0] == "<!--":
+            close = page.find("-->", m.end())
+            stop = close + 3 if close >= 0 else len(page)
+        else:
+            stop = (tags.end(m.end()) if m[2] else page.find(">", m.end())) + 1
+            if not stop:
+                break  # nothing after this is a tag
         text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        at = stop
+        name, attributes = (m[2] or "").lower(), page[m.end() : stop - 1]
         if not name:
             continue
         if m[1]:
-            if name == "a":
+            if opened[name]:
+                while (block := leave()).name != name:
+                    pass
+                links = block.links
+            elif name == "a":
                 links = max(0, links - 1)
-            elif name in BLOCKS or name in EMBEDDED or name in INNER:
-                up = node
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
-                    node, links = up.parent, up.links
             continue
-        closed = (m[3] or "").endswith("/")
-        if closed and (name in FOREIGN or name in RAW and in_foreign(node)):
+        drawn = opened["svg"] > 0
+        if attributes.endswith("/") and (name == "svg" or name in RAW and drawn):
             continue
-        if name in EMBEDDED or name in INNER and in_foreign(node):
-            if name not in last:
-                ends_at = [e.start() for e in re.finditer(rf"</{name}\s*>", page, re.I)]
-                last[name] = ends_at[-1] if ends_at else -1
-            if last[name] >= at:  # one that is never ended holds nothing
-                node = Block(name, node, links=links)  # no part of its parent
+        if name in EMBEDDED or name in INNER and drawn:
+            if ended(name):  # one that is never ended holds nothing
+                enter(Block(name, stack[-1], links=links))  # no part of its parent
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name not in BLOCKS:
-            node.tags += 1
+            if name not in VOID and (opened[name] or attributes and named(attributes) >= ADVERT and not opened["pre"]) and ended(name):
+                enter(Block(name, stack[-1], links=links))  # an advert in a line, or an element inside one
+                continue
+            stack[-1].tags += 1
             if name == "a":
                 links += 1
-                node.link_tags += 1
+                stack[-1].link_tags += 1
             elif name == "br":
-                node.parts.append("\n")
+                stack[-1].parts.append("\n")
             continue
-        while node.name in FOREIGN:
-            node = node.parent
+        while stack[-1].name == "svg":
+            leave()
         ends = ENDS.get(name, ())
-        if node.name == "p" or node.name in ends:
-            while node.name == "p" or node.name in ends:
-                node = node.parent
+        while stack[-1].name == "p" and stack[-1] is not root or stack[-1].name in ends:
+            leave()
         links = 0
-        named = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
         page_part = name not in ("html", "body")
-        beside = page_part and (name in ASIDE or bool(m[3] and _HIDDEN.search(m[3])))
-        child = Block(name, node, beside, page_part and bool(named and BESIDE.search(named)))
-        node.parts.append(child)
+        child = Block(name, stack[-1], page_part and name in ASIDE, named(attributes) if page_part and attributes else 0)
+        stack[-1].parts.append(child)
         if name not in VOID:
-            node = child
+            enter(child)
     text(page[at:])
     settle(root)
     return root
 
 
-def in_foreign(node: Block | None) -> bool:
-    while node is not None and node.name not in FOREIGN:
-        node = node.parent
-    return node is not None
-
-
 def settle(root: Block) -> None:
-    """Leave out the blocks that are named as beside the article, but not where most text is.
+    """Leave out the blocks that are named as beside the article, whatever their size.
 
-    Each such block, without those inside it, is a region, and so is the rest of the page. The
-    region of most characters outside links stays, with the blocks that it lies in. Where the
-    rest of the page has text in an article or main element, only regions in it can outweigh it.
+    Comments and notices always go. Another name is overruled only by what the block encloses:
+    the only article or main element, or, where there is none, the only first heading, with
+    paragraphs. Where nothing but parts of the page has text, the part that has most is read.
     """
-    weight, within, told = {root: 0}, {root}, False
-    todo = [(root, root, False)]
+    mains, titles, parts = [], [], []
+    todo = [(root, False)]
     while todo:
-        node, region, inside = todo.pop()
+        node, inside = todo.pop()
+        if node.named == NEVER:
+            node.beside = True
+            continue
+        if node.name in ("article", "main") and not inside:
+            mains.append(node)
+            inside = True
+        if node.name == "h1":
+            titles.append(node)
         if node.named:
+            parts.append(node)
+        todo += [(b, inside) for b in reversed(node.blocks())]
+    if not parts:
+        return
+    free = {root}
+    if len(mains) == 1:
+        free.update(_up(mains[0]))
+    elif not mains and len(titles) == 1:
+        above = _up(titles[0])[1:]
+        place = {node: k for k, node in enumerate(above)}
+        inner, todo = len(above), [(root, len(above) - 1)]
+        while todo:  # the innermost block above the heading that encloses a paragraph too
+            node, k = todo.pop()
+            k = place.get(node, k)
+            if node.name == "p" and node.chars:
+                inner = min(inner, k)
+            todo += [(b, k) for b in node.blocks()]
+        free.update(above[inner:])
+    weight = {root: 0}
+    spread = [(root, root)]
+    while spread:
+        node, region = spread.pop()
+        if node.named and node not in free:
             region = node
             weight[region] = 0
-            if inside:
-                within.add(region)
-        elif region is root and node.name in ("article", "main"):
-            inside = True
-        n = node.chars - node.link_chars
-        weight[region] += n
-        told = told or bool(n and inside and region is root)
-        todo += [(b, region, inside) for b in reversed(node.blocks())]
-    node, kept = max((r for r in weight if not told or r in within), key=weight.__getitem__), {root}
-    while node is not None:
-        kept.add(node)
-        node = node.parent
-    for region in weight:
-        region.beside = region not in kept
+        weight[region] += node.chars - node.link_chars
+        spread += [(b, region) for b in node.blocks()]
+    if not weight[root]:
+        free.update(_up(max((r for r in weight if r.named != ADVERT), key=weight.__getitem__)))
+    for node in parts:
+        node.beside = node.beside or node not in free
+
+
+def _up(block: Block) -> list[Block]:
+    """The block and all that enclose it."""
+    out = [block]
+    while (block := block.parent) is not None:
+        out.append(block)
+    return out
 
 
 def weigh(root: Block) -> list[Block]:
@@ -216,6 +298,12 @@ def _flow(node: Block, out: list[str]) -> None:
             todo.pop()
 
 
+def section(block: Block) -> bool:
+    """Whether a block is a section of an article: a heading, then paragraphs, mostly without links."""
+    names = [b.name for b in block.blocks() if b.chars]
+    return names[:1] in (["h2"], ["h3"]) and "p" in names and 2 * block.link_chars < block.chars
+
+
 def main_text(page: str) -> str:
     """The article's blocks, one a line; empty if there is none."""
     root = parse(page)
@@ -225,10 +313,9 @@ def main_text(page: str) -> str:
     body = next((b for b in order if b.name == "body"), root)
     sums = [(sum(c.density for c in b.blocks()) or (b.density if b is body else 0.0), -k) for k, b in enumerate(order)]
     best = order[-max(sums)[1]]
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        node = node.parent
+    for node in _up(best):  # all of an article or main element is the article
+        best = node if node.name in ("article", "main") else best
+    path = _up(best)
     threshold = min(b.density for b in path if b.density) if best.density else 0.0
     before: list[str] = []
     after: list[list[str]] = []
@@ -246,7 +333,7 @@ def main_text(page: str) -> str:
                 sides[passed].append(line)
             if part is inner:
                 passed = 1
-            elif part is not None and not part.beside and part.density >= threshold and part.chars:
+            elif part is not None and not part.beside and part.chars and (part.density >= threshold or section(part)):
                 _flow(part, sides[passed])
         before += sides[0]
         after.append(sides[1])

@@ -1,8 +1,10 @@
 """Operators 3, 4, 7, 8 and 10: personal data, rules, test items, pages, weak labels."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -332,6 +334,86 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+LONG = "".join(f"<p>{prose(100, 50 + k)}</p>" for k in range(80))
+
+
+@pytest.mark.parametrize("beside", ["class='comments'", "class='cookie-notice'", "id='comment-list'", "class='site notice'", "class='advert'", "class='ad big'"])
+@pytest.mark.parametrize("page", [
+    "<body><div>{a}</div><div {b}>{c}</div></body>", "<body><article>{a}<div {b}>{c}</div></article></body>", "<body><main><div>{a}</div><section {b}>{c}</section></main></body>",
+    "<body><div {b}>{c}</div><div class='sidebar'><h1></h1>{c}</div><main>{a}</main></body>",
+])
+def test_what_is_named_as_beside_goes_whatever_its_size(page, beside):
+    short = "".join(f"<p>{prose(40, k)}</p>" for k in range(2))
+    assert html_text.main_text(page.format(a=short, b=beside, c=LONG)) == f"{prose(40, 0)}\n{prose(40, 1)}"
+
+
+@pytest.mark.parametrize("page", ["<div class='modal'><article>{a}</article></div>", "<div class='sidebar'><h1>Title</h1>{a}</div>", "<div class='page header'><div><h1>Title</h1></div>{a}</div>"])
+def test_what_encloses_the_article_stays(page):
+    text = html_text.main_text(f"<body><div>{'<p>a line</p>' * 3}</div>{page.format(a=ARTICLE)}</body>")
+    assert text.endswith(ARTICLE_TEXT)
+
+
+def test_adverts_in_a_line_go():
+    page = f"<body><div>{ARTICLE}<p>one <span class='advert'>buy <span>this</span> now</span>two <b id=ads>x</b>three <i>four</i></p></div></body>"
+    assert html_text.main_text(page) == f"{ARTICLE_TEXT}\none two three four"
+
+
+def test_sections_and_what_they_hold_stay():
+    more = "<div><h2>Part two</h2><p>Short end.</p></div><p hidden>not shown</p>"
+    want = f"{ARTICLE_TEXT}\nPart two\nShort end."
+    assert html_text.main_text(f"<body><div><div>{ARTICLE}</div>{more}</div></body>").startswith(want)
+    page = f"<article><div>{ARTICLE}</div>{more}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>an object</object></p></article>"
+    assert html_text.main_text(page) == f"{want}\nnot shown\nso x=1 and an object"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"", "<a '\"", "<!", "<", "</p>", "<p><section>", "<svg>", "<a href=\">", "<span class=ad>", "<div><h1>"])
+def test_time_is_linear_in_the_page(part):
+    times = []
+    for n in (10_000, 80_000):
+        start = time.process_time()
+        html_text.main_text(part * n)
+        times.append(time.process_time() - start)
+    assert times[1] < 24 * times[0] + 1
+
+
+def test_densities_sums_and_choice_equal_the_definition():
+    rng = random.Random(17)
+
+    def made(depth):
+        name = rng.choice(["div", "section", "ul", "blockquote"])
+        inner = "".join(made(depth - 1) if depth and rng.random() < 0.6 else rng.choice(
+            [f"<p>{prose(rng.randint(1, 30), rng.random())}</p>", f"<a href='x'>{prose(3, rng.random())}</a>", "text ", "<b>bold</b>"]) for _ in range(rng.randint(1, 4)))
+        return f"<{name}>{inner}</{name}>"
+
+    def sums(node):
+        """(characters, tags, link characters, link tags) by going down each time."""
+        out = [*own[id(node)]]
+        for child in node.blocks():
+            out = [a + b for a, b in zip(out, sums(child))]
+            out[1] += 1
+        return out
+
+    def walk(node):
+        yield node
+        for child in node.blocks():
+            yield from walk(child)
+
+    for _ in range(60):
+        root = html_text.parse(f"<body>{made(4)}{made(3)}</body>")
+        own = {id(n): (n.chars, n.tags, n.link_chars, n.link_tags) for n in walk(root)}
+        whole = sums(root)
+        want = {}
+        for node in walk(root):
+            c, t, lc, lt = sums(node)
+            t, lt, lx = max(t, 1), max(lt, 1), max(lc, 1)
+            base = math.log(c / max(c - lc, 1) * lc + whole[2] / max(whole[0], 1) * c + math.e) if c else 0
+            want[id(node)] = 0.0 if not c else c / t * math.log(c * t / (lx * lt)) / (math.log(base) if base > 1 else 1) if c * t > lx * lt else c / t * 1e-3
+        order = html_text.weigh(root)
+        assert [id(n) for n in order] == [id(n) for n in walk(root)]
+        for node in order:
+            assert node.density == pytest.approx(max(want[id(node)], 0.0))
+
+
 def test_text_without_markup_is_kept():
     assert html_text.main_text("just   a line") == "just a line"
 
