@@ -14,11 +14,12 @@ import heapq
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PLAIN_PIECES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 #: What a tokenizer's file must say for the rules of this module to be its rules.
 _SAME = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
-#: Values of a batch of results, so that batches of very long texts stay small.
-_BATCH = 8_000_000
+#: Bytes of text of a block to encode, and ids of a block to decode (one longer text is a block).
+_BYTES = 2_000_000
+_IDS = 500_000
 #: The place of a symbol that a merge took, and what parts the chunks of a line.
 _GONE = -2
 
@@ -68,14 +70,14 @@ class Vocabulary:
         tokenizer = Tokenizer.from_file(path)
         self.normal, self.split = tokenizer.normalizer, tokenizer.pre_tokenizer
         # the symbols of each byte of a plain piece, inside it and at its end
-        self.inner_of, self.last_of = np.full(256, _GONE, np.int64), np.full(256, _GONE, np.int64)
+        self.inner_of, self.last_of = np.full(256, _GONE, np.int32), np.full(256, _GONE, np.int32)
         for letter in map(chr, [*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]):
             for byte, sign in zip(letter.encode(), self.split.pre_tokenize_str(letter)[0][0]):
                 self.inner_of[byte], self.last_of[byte] = self.inner[sign], self.last[sign]
 
     def ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 where no merge has it."""
-        keys = first << 32 | second
+        keys = first.astype(np.int64) << 32 | second
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
@@ -109,8 +111,8 @@ def merged(line: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> np.n
     No pair spans the beginning of a piece.
     """
     size = len(line)
-    line = np.append(line, -1)  # what stands beside the ends of a piece
-    after, before = np.arange(1, size + 2), np.arange(-1, size)
+    line = np.append(line, np.int32(-1))  # what stands beside the ends of a piece
+    after, before = np.arange(1, size + 2, dtype=np.int32), np.arange(-1, size, dtype=np.int32)
     begins = np.flatnonzero(starts)
     before[begins] = size
     after[begins[1:] - 1] = size
@@ -131,7 +133,7 @@ def merged(line: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> np.n
                     heapq.heappush(active, rank)
                 places[rank].append(at[low:high])
 
-    enter(np.arange(size))
+    enter(np.arange(size, dtype=np.int32))
     while active:
         rank = heapq.heappop(active)
         a, b, made = vocabulary.merges[rank]
@@ -145,7 +147,7 @@ def merged(line: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> np.n
                 if place != taken:
                     kept.append(place)
                     taken = follows
-            at = np.array(kept, np.int64)
+            at = np.array(kept, np.int32)
         if len(at):
             follows = after[at]
             line[at], line[follows] = made, _GONE
@@ -155,11 +157,17 @@ def merged(line: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> np.n
     return line[:-1]
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """A worker keeps it for its next tasks, as it does the encoder."""
+    return Vocabulary(path)
+
+
 class Encoder:
     """Ids of texts, block by block; the first ``keep`` different chunks are remembered."""
 
-    def __init__(self, path: str, keep: int = 700_000):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, keep: int = 250_000):
+        self.vocabulary = vocabulary(path)
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
 
@@ -172,7 +180,7 @@ class Encoder:
         lines, starts = [[x] for x in v.plain(plain)]
         for chunk in others:
             line, start = v.other(chunk)
-            lines.append(np.array(line, np.int64))
+            lines.append(np.array(line, np.int32))
             starts.append(np.array(start, bool))
         raw = np.concatenate(lines)
         parted = np.cumsum(raw == _GONE) - (raw == _GONE)  # which chunk a symbol belongs to
@@ -187,35 +195,28 @@ class Encoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = [c for c in set().union(*split) if c not in self.known]
         found = self._ids(new) if new else {}
-        if len(self.known) + len(found) <= self.keep:
-            self.known.update(found)
-            found = self.known
-        else:
-            found = {**self.known, **found}
-        return [b"".join(map(found.__getitem__, chunks)) for chunks in split]
+        known = self.known
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for chunk in list(found)[max(0, self.keep - len(known) + len(found)) :]:
+            del known[chunk]
+        return out
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """A worker keeps the encoder for its next tasks."""
     return Encoder(path)
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-def _blocks(values: Iterable, size, most: int) -> Iterator[slice]:
-    """Slices of rows that hold about ``most`` in size together."""
-    start = held = end = 0
-    for end, value in enumerate(values, 1):
-        held += size(value)
-        if held >= most:
-            yield slice(start, end)
-            start, held = end, 0
-    if start < end:
-        yield slice(start, end)
+def _blocks(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold at most about ``most`` in size each."""
+    ends = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < batch.num_rows:
+        limit = (ends[start - 1] if start else 0) + most
+        end = max(start + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _extended(df: DataFrame, run, column: str, kind: str) -> DataFrame:
@@ -238,12 +239,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = common.texts(batch, text)
-            for rows in _blocks(values, len, _BATCH):
-                found = encoder(path).encode(values[rows])
+            for part in _blocks(batch, pc.binary_length(batch.column(text)), _BYTES):
+                found = encoder(path).encode(common.texts(part, text))
                 ends = np.cumsum([0, *map(len, found)]) // 4
                 flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
-                yield _with(batch.slice(rows.start, rows.stop - rows.start), ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+                yield _with(part, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
 
     common.prepare(docs.sparkSession)
     return _extended(docs.withColumn(text, F.col(text).cast("string")), run, ids, "array<int>")
@@ -260,15 +260,13 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = vocabulary(path).names
         for batch in batches:
-            lists = batch.column(ids)
-            lengths = lists.value_lengths().fill_null(0).to_pylist()
-            for rows in _blocks(lengths, int, _BATCH):
-                part = lists.slice(rows.start, rows.stop - rows.start)
-                flat, at, shown = part.flatten().to_pylist(), 0, []
-                for n in lengths[rows]:
+            for part in _blocks(batch, batch.column(ids).value_lengths(), _IDS):
+                lists = part.column(ids)
+                flat, at, shown = lists.flatten().to_pylist(), 0, []
+                for n in lists.value_lengths().fill_null(0).to_pylist():
                     shown.append(" ".join([names[i] for i in flat[at : at + n]]))
                     at += n
-                yield _with(batch.slice(rows.start, rows.stop - rows.start), text, pa.array(shown, pa.string()))
+                yield _with(part, text, pa.array(shown, pa.string()))
 
     common.prepare(encoded.sparkSession)
     return _extended(encoded, run, text, "string")

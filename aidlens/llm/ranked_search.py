@@ -59,25 +59,26 @@ def build(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
+        hashes = common.WordHashes(100_000)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                counts = Counter(terms(text))
-                if not counts:
-                    continue
-                keys = hashes.of(list(counts))
-                times = np.fromiter(counts.values(), np.int64, len(counts))
-                spots = (keys >> np.uint64(48)).astype(np.int64)
-                order = np.argsort(spots, kind="stable")
-                places, starts = np.unique(spots[order], return_index=True)
-                most = np.minimum(np.maximum.reduceat(times[order], starts), MOST)
-                rows.append((doc, int(times.sum()), common.signed(keys), times, places, most))
-                if len(rows) == _ROWS:
-                    yield _index_rows(rows)
-                    rows = []
-            if rows:
-                yield _index_rows(rows)
+            for at in range(0, batch.num_rows, _ROWS):
+                yield from indexed(batch.slice(at, _ROWS), hashes)
+
+    def indexed(batch: pa.RecordBatch, hashes: common.WordHashes) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
+            counts = Counter(terms(text))
+            if not counts:
+                continue
+            keys = hashes.of(list(counts))
+            times = np.fromiter(counts.values(), np.int64, len(counts))
+            spots = (keys >> np.uint64(48)).astype(np.int64)
+            order = np.argsort(spots, kind="stable")
+            places, starts = np.unique(spots[order], return_index=True)
+            most = np.minimum(np.maximum.reduceat(times[order], starts), MOST)
+            rows.append((doc, int(times.sum()), common.signed(keys), times, places, most))
+        if rows:
+            yield _index_rows(rows)
 
     common.prepare(docs.sparkSession)
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
