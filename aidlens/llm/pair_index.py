@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from aidlens.llm import common, tokens
 
-#: Signs and letters that the normaliser leaves alone but for their case, and their pieces in UTF-8.
+#: Signs and letters that the normaliser leaves alone but for their case.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PLAIN_PIECES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+_SHORT = re.compile(b"'(?:s|t|re|ve|m|ll|d)")
+#: The kind of each byte of plain chunks: a sign, a letter, a digit, an end of a chunk.
+_KIND = np.array([3 if b == 10 else 2 if 48 <= b < 58 else 1 if b >= 128 or chr(b).isalpha() else 0 for b in range(256)], np.uint8)
 #: What a tokenizer's file must say for the rules of this module to be its rules.
 _SAME = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: Bytes of text of a block to encode, and ids of a block to decode (one longer text is a block).
-_BYTES = 2_000_000
+_BYTES = 3_000_000
 _IDS = 500_000
 #: The place of a symbol that a merge took, and what parts the chunks of a line.
 _GONE = -2
@@ -84,12 +86,19 @@ class Vocabulary:
     def plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of plain chunks, each with _GONE after it, and where their pieces begin."""
         held = ("\n".join(chunks) + "\n").lower().encode() if chunks else b""
-        ends = np.fromiter((m.end() for m in _PLAIN_PIECES.finditer(held)), np.int64)
-        line = self.inner_of[np.frombuffer(held, np.uint8)]
-        line[ends - 1] = self.last_of[np.frombuffer(held, np.uint8)[ends - 1]]
-        starts = np.zeros(len(line) + 1, bool)
-        starts[ends] = True
-        return line, starts[:-1]
+        raw = np.frombuffer(held, np.uint8)
+        kind = _KIND[raw]
+        starts = np.ones(len(raw), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] >= 2)
+        for at in np.flatnonzero((raw == 39) & starts).tolist():
+            short = _SHORT.match(held, at)  # the end of a short form is a piece
+            if short:
+                starts[at + 1 : short.end()] = False
+                starts[short.end()] = True
+        line = self.inner_of[raw]
+        lasts = np.append(starts[1:], True)
+        line[lasts] = self.last_of[raw[lasts]]
+        return line, starts
 
     def other(self, chunk: str) -> tuple[list[int], list[bool]]:
         """The same of any other chunk; an added token is a piece of one symbol."""
@@ -153,7 +162,8 @@ def merged(line: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> np.n
             line[at], line[follows] = made, _GONE
             then = after[follows]
             after[at], before[then] = then, at
-            enter(np.unique(np.concatenate([before[at], at])))
+            left = before[at]
+            enter(np.concatenate([left[line[left] != made], at]))  # two made side by side are entered once
     return line[:-1]
 
 
@@ -166,7 +176,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Ids of texts, block by block; the first ``keep`` different chunks are remembered."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 400_000):
         self.vocabulary = vocabulary(path)
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
@@ -174,9 +184,11 @@ class Encoder:
     def _ids(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of different chunks, four bytes each."""
         v = self.vocabulary
-        is_plain = lambda c: _PLAIN.fullmatch(c) and not (v.cut and v.cut.search(c))
-        plain = [c for c in chunks if is_plain(c)]
-        others = [c for c in chunks if not is_plain(c)] if len(plain) < len(chunks) else []
+        whole = _PLAIN.fullmatch
+        plain = [c for c in chunks if whole(c)]
+        if v.cut and v.cut.search(" ".join(plain)):
+            plain = [c for c in plain if not v.cut.search(c)]
+        others = list(set(chunks).difference(plain)) if len(plain) < len(chunks) else []
         lines, starts = [[x] for x in v.plain(plain)]
         for chunk in others:
             line, start = v.other(chunk)
@@ -258,15 +270,13 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text:
     path = path or f"{tokens.folder()}/{tokens.WORD_BPE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = vocabulary(path).names
+        names = pa.array(vocabulary(path).names, pa.string())
         for batch in batches:
             for part in _blocks(batch, batch.column(ids).value_lengths(), _IDS):
                 lists = part.column(ids)
-                flat, at, shown = lists.flatten().to_pylist(), 0, []
-                for n in lists.value_lengths().fill_null(0).to_pylist():
-                    shown.append(" ".join([names[i] for i in flat[at : at + n]]))
-                    at += n
-                yield _with(part, text, pa.array(shown, pa.string()))
+                ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+                tokens_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(lists.flatten()))
+                yield _with(part, text, pc.binary_join(tokens_of, " "))
 
     common.prepare(encoded.sparkSession)
     return _extended(encoded, run, text, "string")
