@@ -62,6 +62,11 @@ def hazard_peak(hazards: DataFrame) -> DataFrame:
     )
 
 
+def id_bucket(buckets: int) -> Column:
+    """The bucket of the stored hazards that an id belongs to; a null id is one id."""
+    return F.pmod(F.xxhash64(F.col("event_id").cast("string")), F.lit(buckets)).cast("int")
+
+
 def insert_new_hazards(batch: DataFrame, store: DataFrame) -> DataFrame:
     """The hazards of a batch that the store does not hold, one per event id; null ids are one id."""
     first = W.partitionBy("event_id").orderBy(F.xxhash64(*batch.columns))

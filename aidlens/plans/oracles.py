@@ -467,5 +467,13 @@ ORACLES: dict[str, str] = {
         "QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq) = 1)",
     )
     + "SELECT record_id, event_key, source_name, observed_at, k || ' ' || summary AS summary, cast(deaths + k AS int) AS deaths, affected_people FROM firsts",
+    "stream_bounded_ingest": _with(
+        "evidence_in", "dated AS (SELECT * REPLACE (CASE WHEN seq % 11 <> 0 THEN observed_at ELSE '' END AS observed_at) FROM evidence_in)", _records("dated"),
+        "days AS (SELECT *, substr(observed_at, 9, 2) AS day FROM records)",
+        "landed AS (SELECT *, 0 AS k FROM days WHERE day <= '10' AND seq % 3 < 2 UNION ALL SELECT *, 1 FROM days WHERE day <= '20' AND seq % 5 > 0 "
+        "UNION ALL SELECT *, 2 FROM days WHERE day <= '04' OR day > '18' UNION ALL SELECT *, 3 FROM days)",
+        "firsts AS (SELECT * FROM landed QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY k, seq) = 1)",
+    )
+    + "SELECT record_id, event_key, source_name, observed_at, k || ' ' || summary AS summary, deaths, affected_people FROM firsts",
     "stream_hazard_unique": _with("hazards") + HAZARD_ROWS,
 }

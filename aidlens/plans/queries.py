@@ -611,6 +611,34 @@ def stream_evidence_ingest(spark, sf_dir):
     )
 
 
+@query
+def stream_bounded_ingest(spark, sf_dir):
+    """Four batches, each after a restart: ever later days, repeats with other figures, late and undated records.
+
+    The state answers for the last five days, the table for the rest. Each id is stored once, as
+    it first came.
+    """
+    folder = f"{shared_folder(spark)}/bounded-stream-{uuid.uuid4()}"
+    undated = F.when(F.col("seq") % 11 != 0, F.col("observed_at")).otherwise("")
+    rows = evidence.build_records(view(spark, sf_dir, "evidence_in", rebalance=True).withColumn("observed_at", undated), FETCHED_AT)
+    day = F.substring("observed_at", 9, 2)
+    parts = [
+        rows.filter((day <= "10") & (F.col("seq") % 3 < 2)),
+        rows.filter((day <= "20") & (F.col("seq") % 5 > 0)),
+        rows.filter((day <= "04") | (day > "18")),
+        rows,
+    ]
+    for k, part in enumerate(parts):
+        later = part.withColumn("summary", F.concat(F.lit(f"{k} "), F.col("summary")))
+        later = evidence.first_per_record(later, "seq")
+        later.select(evidence_store.line().alias("value")).write.mode("append").text(f"{folder}/landing")
+        lines = ingest.evidence_lines(spark, f"{folder}/landing", files_per_batch=100_000)
+        ingest.ingest_bounded(lines, f"{folder}/store", f"{folder}/checkpoint", "5 days").awaitTermination()
+    return evidence_store.read_store(spark, f"{folder}/store").select(
+        "record_id", "event_key", "source_name", "observed_at", "summary", "deaths", "affected_people"
+    )
+
+
 @query
 def stream_hazard_unique(spark, sf_dir):
     """Hazards landed twice, in files of any order, kept once."""
@@ -620,4 +648,4 @@ def stream_hazard_unique(spark, sf_dir):
         feed.write.mode("append").json(f"{folder}/landing")
     hazards = ingest.hazard_files(spark, f"{folder}/landing", files_per_batch=1, document_per_file=False)
     ingest.ingest_hazards(hazards, f"{folder}/hazards", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/hazards")
+    return ingest.read_hazards(spark, f"{folder}/hazards")

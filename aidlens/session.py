@@ -23,16 +23,21 @@ def local_session(cores: str = "*", name: str = "aidlens") -> SparkSession:
     return spark
 
 
+#: The folders made for local applications that name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is set."""
+    """The cluster's shared checkpoint folder; one made for the application in local mode, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="aidlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="aidlens-")
+    return _LOCAL_FOLDERS[application]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from aidlens import schemas
 from aidlens.functions import text
 from aidlens.operators import evidence
+from aidlens.sources.committed import CommittedTable
 
 DAY = "observed_day"
 KNOWN = schemas.EVIDENCE_REQUIRED + list(schemas.EVIDENCE_DEFAULTS)
@@ -59,19 +60,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.EVIDENCE)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The record table; empty and typed before the first append."""
-    return _stored(spark, path).select(*schemas.EVIDENCE.names)
+def table(spark: SparkSession, path: str) -> CommittedTable:
+    """The record table: published batches, partitioned by the day of observation."""
+    return CommittedTable(spark, path, StructType([*schemas.EVIDENCE, StructField(DAY, StringType())]), DAY)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType([*schemas.EVIDENCE, StructField(DAY, StringType())])
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The record table; empty and typed before the first append."""
+    return table(spark, path).read().select(*schemas.EVIDENCE.names)
 
 
 def observed_day() -> Column:
@@ -80,31 +76,29 @@ def observed_day() -> Column:
     return F.when(day != "", day).otherwise(F.lit("undated"))
 
 
-def append_new(batch: DataFrame, path: str, *arrival: str, ids_by_day: bool = False) -> int:
+def append_new(batch: DataFrame, path: str, *arrival: str, ids_by_day: bool = False, name: str | None = None) -> int:
     """Append the records the table does not hold yet; returns how many.
 
     Of several records with one id the first by ``arrival`` (by default the fetch time) counts,
     however late or undated it is. A repeated call adds nothing, also after a run that failed
-    half-way, and nothing new writes no file. One writer at a time.
+    half-way; a batch that has a ``name`` is not even read again. One writer at a time.
 
     Ids made by ``text.record_id`` hash the time of observation, so equal ones share a day:
     with ``ids_by_day`` only the batch's days of the table are read.
     """
-    spark = batch.sparkSession
+    held = table(batch.sparkSession, path)
+    known = held.commit(name) if name else None
+    if known:
+        return known["rows"]
     batch = batch.withColumn(DAY, observed_day())
-    store = _stored(spark, path)
-    if ids_by_day:
-        days = [r[DAY] for r in batch.select(DAY).distinct().toLocalIterator()]  # days of one batch
-        store = store.filter(F.col(DAY).isin(days))
-    new = evidence.insert_new(batch, store, *(arrival or ("fetched_at",)))
-    new = new.select(*schemas.EVIDENCE.names, DAY).persist()
-    try:
-        inserted = new.count()
-        if inserted:
-            new.write.mode("append").partitionBy(DAY).parquet(path)
-    finally:
-        new.unpersist()
-    return inserted
+    store = of_days(held.read(), batch) if ids_by_day else held.read()
+    return held.append(evidence.insert_new(batch, store, *(arrival or ("fetched_at",))), name)
+
+
+def of_days(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """The part of the table that holds the days of a batch."""
+    days = [r[DAY] for r in batch.select(DAY).distinct().toLocalIterator()]  # days of one batch
+    return store.filter(F.col(DAY).isin(days))
 
 
 def line() -> Column:
