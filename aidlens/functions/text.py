@@ -122,3 +122,9 @@ def visible_text(html: Column) -> Column:
     trimmed = F.regexp_replace(spaced, "\\s*\x01[\\s\x01]*", "\x01")
     ends = F.regexp_replace(trimmed, "^[\\s\x01]+|[\\s\x01]+$", "")
     return F.replace(ends, F.lit("\x01"), F.lit(" "))
+
+
+def filled(template: str, *values: Column) -> Column:
+    """A fixed text with columns in place of its ``{}``, in order."""
+    first, *rest = template.split("{}")
+    return F.concat(F.lit(first), *[part for value, piece in zip(values, rest, strict=True) for part in (value, F.lit(piece))])

@@ -241,6 +241,22 @@ def raw_json_status(
     })
 
 
+def raw_fields(payloads: DataFrame, paths: dict[str, tuple[str, str]], payload: str = "payload", *keep: str) -> DataFrame:
+    """Typed columns out of documents of any shape: name -> (path, type).
+
+    A document is parsed once, as a variant. NULL stands for text that does not parse, for a path
+    that is not there and for a value of another type.
+    """
+    parsed = payloads.select(*keep, F.try_parse_json(payload).alias("_v"))
+    return parsed.select(*keep, *[F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in paths.items()])
+
+
+def raw_shape(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row: the schema that all documents together have, and how many do not parse."""
+    parsed = payloads.select(F.try_parse_json(payload).alias("_v"))
+    return parsed.agg(F.schema_of_variant_agg("_v").alias("shape"), F.count_if(F.col("_v").isNull()).alias("unparsable"))
+
+
 def ingest_status(registry: DataFrame, landed: DataFrame) -> DataFrame:
     """Every registered source with its record count; a source without any is unavailable."""
     counts = landed.groupBy("source", "url").agg(F.count("*").alias("records"))

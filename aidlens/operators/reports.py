@@ -124,30 +124,42 @@ def evidence_report_inputs(evidence: DataFrame) -> DataFrame:
 
 
 def resource_answer(routed: DataFrame, kpis: DataFrame) -> DataFrame:
-    """The figures quoted to every question on the resource route."""
+    """The answer to every question on the resource route, with the figures of all requests."""
     figures = kpis.select(F.struct("critical_requests", "open_requests", "people_affected")).scalar()
     k = F.col("_kpis")
-    answer = F.concat(
-        F.lit("**"), k["critical_requests"].cast("string"), F.lit(" critical request(s)**, **"),
-        k["open_requests"].cast("string"), F.lit(" open request(s)**, and **"),
-        text.thousands(k["people_affected"]), F.lit(" affected people**"),
-        F.when(F.col("death_requested"), F.lit("; deaths not reported in the operational dataset")).otherwise(F.lit("")),
+    answer = text.filled(
+        fixed.RESOURCE_ANSWER,
+        k["critical_requests"].cast("string"), k["open_requests"].cast("string"), text.thousands(k["people_affected"]),
+        F.when(F.col("death_requested"), F.lit(fixed.RESOURCE_DEATHS)).otherwise(F.lit("")),
     )
     asked = routed.filter("route = 'resource'").withColumn("_kpis", figures)
     return asked.withColumn("answer", answer).drop("_kpis")
 
 
 def hazard_answer(routed: DataFrame, peak: DataFrame) -> DataFrame:
-    """Event count, peak and place quoted to every question on the earthquake route."""
+    """The answer to every question on the earthquake route, with event count, peak and place."""
     figures = peak.select(F.struct("events", "peak_severity", "peak_place")).scalar()
     p = F.col("_peak")
     unknown = F.lit("not available")
-    answer = F.concat(
-        F.lit("**"), p["events"].cast("string"), F.lit(" event(s)**, highest **"),
-        F.coalesce(text.magnitude(p["peak_severity"]), unknown), F.lit("** near **"),
-        F.coalesce(p["peak_place"], unknown), F.lit("**; deaths/casualties: "),
-        F.when(F.col("death_requested"), F.lit("not reported by the event feed"))
-        .otherwise(F.lit("not provided by this hazard feed")),
+    answer = text.filled(
+        fixed.HAZARD_ANSWER,
+        p["events"].cast("string"), F.coalesce(text.magnitude(p["peak_severity"]), unknown), F.coalesce(p["peak_place"], unknown),
+        F.when(F.col("death_requested"), F.lit(fixed.HAZARD_DEATHS_ASKED)).otherwise(F.lit(fixed.HAZARD_DEATHS)),
     )
     asked = routed.filter("route = 'earthquake'").withColumn("_peak", figures)
     return asked.withColumn("answer", answer).drop("_peak")
+
+
+def with_evidence(answers: DataFrame, contexts: DataFrame, keys: list[str], attached: tuple[str, str] | None = None) -> DataFrame:
+    """Each answer with the evidence that was found for its question, or the note that there is none.
+
+    ``attached`` names two columns of the answers, a document's name and its excerpt, which follow
+    the evidence; a question without a name has no document.
+    """
+    evidence = F.col("context")
+    if attached:
+        name, excerpt = map(F.col, attached)
+        evidence = F.concat("context", F.when(name.isNotNull(), text.filled(fixed.ATTACHED, name, F.coalesce(excerpt, F.lit("")))).otherwise(F.lit("")))
+    section = F.when(F.col("context").isNull(), F.lit(fixed.NO_EVIDENCE_SECTION)).otherwise(text.filled(fixed.EVIDENCE_SECTION, evidence))
+    joined = answers.join(contexts.select(*keys, "context"), keys, "left")
+    return joined.withColumn("answer", F.concat("answer", section)).drop("context")

@@ -141,6 +141,25 @@ SEARCH = [
     f"QUALIFY rank <= {q.SEARCH_LIMIT})",
 ]
 
+CONTEXTS = (
+    "contexts AS (SELECT conv_id, turn, cast(to_json(list({event: title, domain: domain, location: location, summary: summary, source: source_name, "
+    "source_url: source_url, observed_at: observed_at, affected_people: affected_people, deaths: deaths, confidence: 'unverified'} ORDER BY rank)) AS varchar) AS context "
+    "FROM hits JOIN evidence_in USING (seq) GROUP BY conv_id, turn)"
+)
+
+# --- whole answers ----------------------------------------------------------
+
+
+def _filled(template: str, *values: str) -> str:
+    first, *rest = template.split("{}")
+    return " || ".join([_q(first), *[part for v, piece in zip(values, rest) for part in (f"({v})", _q(piece))]])
+
+
+RESOURCE_TEXT = _filled(
+    fixed.RESOURCE_ANSWER, "k.critical_requests", "k.open_requests", "format('{:,}', k.people_affected)",
+    f"CASE WHEN death_requested THEN {_q(fixed.RESOURCE_DEATHS)} ELSE '' END",
+)
+
 # --- pages ----------------------------------------------------------------
 
 
@@ -392,17 +411,17 @@ ORACLES: dict[str, str] = {
     "situation_report_current": _with("questions", _classified("questions", "text"), ROUTED, f"cells AS ({SITUATION})") + SITUATION_ROWS,
     "evidence_situation_report": _with("evidence_in", EVIDENCE_CELLS)
     + f"SELECT * EXCLUDE (label), {_markdown()} AS report FROM cells",
-    "resource_answer": _with("requests", KPIS, *ALL_ROUTED)
-    + "SELECT conv_id, turn, '**' || k.critical_requests || ' critical request(s)**, **' || k.open_requests || ' open request(s)**, and **' || "
-    "format('{:,}', k.people_affected) || ' affected people**' || "
-    "CASE WHEN death_requested THEN '; deaths not reported in the operational dataset' ELSE '' END AS answer "
-    "FROM routed CROSS JOIN kpis k WHERE route = 'resource'",
+    "resource_answer": _with("requests", KPIS, *ALL_ROUTED) + f"SELECT conv_id, turn, {RESOURCE_TEXT} AS answer FROM routed CROSS JOIN kpis k WHERE route = 'resource'",
+    "answer_with_evidence": _with("requests", KPIS, *SEARCH, HISTORY, ROUTING, _classified("routing", "routing_text"), ROUTED, CONTEXTS)
+    + f"SELECT conv_id, turn, {RESOURCE_TEXT} || CASE WHEN context IS NULL THEN {_q(fixed.NO_EVIDENCE_SECTION)} ELSE {_filled(fixed.EVIDENCE_SECTION, 'context')} END AS answer "
+    "FROM routed CROSS JOIN kpis k LEFT JOIN contexts USING (conv_id, turn) WHERE route = 'resource'",
     "hazard_answer": _with("hazards", f"rows_ AS ({HAZARD_ROWS})", STRONG, f"peak AS ({_peak('strong')})", *ALL_ROUTED)
-    + "SELECT conv_id, turn, '**' || p.events || ' event(s)**, highest **' || "
-    "coalesce('M' || format('{:.1f}', round_even(p.peak_severity, 1)), 'not available') || '** near **' || "
-    "coalesce(p.peak_place, 'not available') || '**; deaths/casualties: ' || "
-    "CASE WHEN death_requested THEN 'not reported by the event feed' ELSE 'not provided by this hazard feed' END AS answer "
-    "FROM routed CROSS JOIN peak p WHERE route = 'earthquake'",
+    + "SELECT conv_id, turn, "
+    + _filled(
+        fixed.HAZARD_ANSWER, "p.events", "coalesce('M' || format('{:.1f}', round_even(p.peak_severity, 1)), 'not available')",
+        "coalesce(p.peak_place, 'not available')", f"CASE WHEN death_requested THEN {_q(fixed.HAZARD_DEATHS_ASKED)} ELSE {_q(fixed.HAZARD_DEATHS)} END",
+    )
+    + " AS answer FROM routed CROSS JOIN peak p WHERE route = 'earthquake'",
     "conversation_counts": _with("questions") + "SELECT conv_id, cast(count(*) AS bigint) AS messages FROM questions GROUP BY conv_id",
     "conversation_title": _with("questions")
     + f"SELECT conv_id, left(text, {fixed.TITLE_CHARS}) || CASE WHEN length(text) > {fixed.TITLE_CHARS} THEN '…' ELSE '' END AS title "
@@ -467,6 +486,8 @@ ORACLES: dict[str, str] = {
         "QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq) = 1)",
     )
     + "SELECT record_id, event_key, source_name, observed_at, k || ' ' || summary AS summary, cast(deaths + k AS int) AS deaths, affected_people FROM firsts",
+    "raw_json_fields": "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN cast(json_extract_string(props, '$.k') AS int) END AS k, "
+    "CASE WHEN event_id % 10 <> 0 THEN json_extract_string(props, '$.k') END AS k_text, cast(NULL AS double) AS absent FROM events",
     "stream_bounded_ingest": _with(
         "evidence_in", "dated AS (SELECT * REPLACE (CASE WHEN seq % 11 <> 0 THEN observed_at ELSE '' END AS observed_at) FROM evidence_in)", _records("dated"),
         "days AS (SELECT *, substr(observed_at, 9, 2) AS day FROM records)",

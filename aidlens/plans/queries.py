@@ -259,6 +259,14 @@ def question_evidence(spark, sf_dir):
     return answered.select(*QUESTION, "matches", (F.col("context") == fixed.NO_MATCH).alias("noted"))
 
 
+@query
+def answer_with_evidence(spark, sf_dir):
+    """The whole answers of the resource route, each with its evidence section."""
+    kpis = triage.request_kpis(view(spark, sf_dir, "requests"))
+    answers = reports.resource_answer(_routed(spark, sf_dir), kpis).select(*QUESTION, "answer")
+    return reports.with_evidence(answers, _contexts(spark, sf_dir), QUESTION)
+
+
 # --- events ---------------------------------------------------------------
 
 
@@ -573,6 +581,16 @@ def raw_json_status(spark, sf_dir):
     return feeds.raw_json_status(rows, source="Events", label="props", reference="https://example.org/reference")
 
 
+@query
+def raw_json_fields(spark, sf_dir):
+    """Two paths read from the raw documents, of which every tenth is damaged."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 10 == 0, F.left("props", F.lit(3))).otherwise(F.col("props")).alias("payload"),
+    )
+    return feeds.raw_fields(rows, {"k": ("$.k", "int"), "k_text": ("$.k", "string"), "absent": ("$.other.deep", "double")}, "payload", "event_id")
+
+
 @query
 def ingest_status(spark, sf_dir):
     """A registry of 21 sources, of which the last has landed nothing."""

@@ -168,3 +168,11 @@ def test_display_value(rows):
     df = rows([(None,), ("",), (" nan ",), ("None",), ("NaN",), (" x ",)], "v string")
     got = sorted(r.x for r in df.select(text.display_value(F.col("v"), "?").alias("x")).collect())
     assert got == [" x "] + ["?"] * 5
+
+
+def test_fields_and_shape_of_raw_documents(rows):
+    docs = rows([(1, '{"a": {"b": 5}, "c": "x"}'), (2, '{"a": {"b": "five"}}'), (3, '{"a":'), (4, None), (5, "[1]")], "id int, payload string")
+    got = feeds.raw_fields(docs, {"b": ("$.a.b", "int"), "c": ("$.c", "string")}, "payload", "id")
+    assert {tuple(r) for r in got.collect()} == {(1, 5, "x"), (2, None, None), (3, None, None), (4, None, None), (5, None, None)}
+    assert feeds.raw_shape(docs.filter("id < 4")).first().unparsable == 1
+    assert feeds.raw_shape(docs.filter("id = 1")).first().shape == "OBJECT<a: OBJECT<b: BIGINT>, c: STRING>"

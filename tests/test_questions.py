@@ -147,7 +147,25 @@ def test_answers_quote_figures(rows, spark):
     answer = reports.resource_answer(asked, kpis).collect()
     assert len(answer) == 1 and "**4 critical request(s)**, **13 open request(s)**, and **2,355 affected people**" in answer[0].answer
     none = spark.sql("SELECT 0 AS events, cast(NULL AS double) AS peak_severity, cast(NULL AS string) AS peak_place")
-    assert "**0 event(s)**, highest **not available** near **not available**" in reports.hazard_answer(asked, none).first().answer
+    text = reports.hazard_answer(asked, none).first().answer
+    assert "contains **0 event(s)** in the last seven days" in text
+    assert "The highest-magnitude event in the retrieved set is **not available** near **not available**." in text
+    assert "\n\n**Deaths/casualties:** Not provided by this hazard feed.\n\n" in text
+
+
+def test_answers_end_with_their_evidence(rows):
+    answers = rows([(1, "A.", "notes.txt", "first line"), (2, "B.", None, None), (3, "C.", "empty.txt", None)], "qid int, answer string, name string, excerpt string")
+    contexts = rows([(1, '[{"event":"x"}]', 1), (3, "[]", 1)], "qid int, context string, matches int")
+    end = "These records are source-linked observations. They do not override newer official bulletins, and missing casualty fields remain **Not reported**."
+    got = {r.qid: r.answer for r in reports.with_evidence(answers, contexts, ["qid"], ("name", "excerpt")).collect()}
+    assert got == {
+        1: f'A.\n\n### Retrieved evidence records\n\n[{{"event":"x"}}]\n\nAttached document: notes.txt\nfirst line\n\n{end}',
+        2: "B.\n\n### Evidence store status\n\nNo matching saved official evidence record was found for this wording. "
+        "Enable **Refresh official India evidence** and ask with a location, event type, and time period.",
+        3: f"C.\n\n### Retrieved evidence records\n\n[]\n\nAttached document: empty.txt\n\n\n{end}",
+    }
+    plain = {r.qid: r.answer for r in reports.with_evidence(answers, contexts, ["qid"]).collect()}
+    assert plain[1] == f'A.\n\n### Retrieved evidence records\n\n[{{"event":"x"}}]\n\n{end}'
 
 
 def test_reports_of_both_routes_word_for_word(rows):
