@@ -445,6 +445,16 @@ ORACLES: dict[str, str] = {
     "hazard_display": _with("hazards", f"rows_ AS ({HAZARD_ROWS})")
     + "SELECT event_id, format('{:.5f}', longitude) AS longitude, 'M' || format('{:.1f}', round_even(severity, 1)) AS magnitude FROM rows_",
     "reports_normalize": _with("reports_flat") + REPORT_ROWS,
+    "reports_landed": _with("reports_flat") + f"SELECT * FROM ({REPORT_ROWS}) WHERE page_id % 10 > 2 AND page_id % 20 <> 13",
+    "reports_rescued": _with("reports_flat")
+    + "SELECT cast(page_id % 20 AS int) AS source, CASE page_id % 10 WHEN 0 THEN 'unparsable' WHEN 1 THEN 'foreign' ELSE 'empty' END AS reason, "
+    "CASE page_id % 10 WHEN 0 THEN left('{\"page_id\":' || page_id || ',\"data\":[{', 20) WHEN 1 THEN '[1]' ELSE ' ' END AS raw, count(*) AS documents "
+    "FROM reports_flat WHERE page_id % 10 <= 2 OR page_id % 20 = 13 GROUP BY ALL",
+    "landed_status": _with("reports_flat")
+    + "SELECT cast(i AS int) AS source, CASE WHEN coalesce(documents, 0) > 0 THEN 'ok' ELSE 'unavailable' END AS status, cast(coalesce(documents, 0) AS bigint) AS documents, "
+    "cast(coalesce(empty, 0) AS bigint) AS empty, cast(coalesce(damaged, 0) AS bigint) AS damaged FROM range(21) t(i) LEFT JOIN "
+    "(SELECT page_id % 20 AS s, count(*) FILTER (WHERE page_id % 10 > 2 AND page_id % 20 <> 13) AS documents, "
+    "count(*) FILTER (WHERE page_id % 10 = 2 OR page_id % 20 = 13) AS empty, count(*) FILTER (WHERE page_id % 10 < 2) AS damaged FROM reports_flat GROUP BY 1) ON s = i",
     "reports_latest": _with("reports_flat", f"rows_ AS ({REPORT_ROWS})")
     + "SELECT title, country, source, created, url FROM rows_ ORDER BY created DESC, url LIMIT 20",
     "gazetteer_lookup": _with(

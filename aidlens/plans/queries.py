@@ -5,13 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aidlens import fixed, schemas
 from aidlens.functions import text
 from aidlens.operators import events, evidence, feeds, graph, questions, reports, search, triage
 from aidlens.plans.workload import table, view
 from aidlens.session import shared_folder
-from aidlens.sources import evidence_store
+from aidlens.sources import evidence_store, landed
 from aidlens.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,9 +218,9 @@ def evidence_load_tolerant(spark, sf_dir):
         .when(F.col("domain") == "landslide", F.col("partial"))
         .otherwise(F.col("whole"))
     )
-    landed = f"{shared_folder(spark)}/evidence-lines-{uuid.uuid4()}"
-    jsons.select(damaged.alias("value")).write.text(landed)
-    return evidence_store.read_lines(spark, landed).select(
+    folder = f"{shared_folder(spark)}/evidence-lines-{uuid.uuid4()}"
+    jsons.select(damaged.alias("value")).write.text(folder)
+    return evidence_store.read_lines(spark, folder).select(
         "record_id", "event_key", "domain", "title", "summary", "freshness", "deaths", "affected_people"
     )
 
@@ -500,6 +501,41 @@ def reports_normalize(spark, sf_dir):
     return feeds.normalize_reports(_report_feed(spark, sf_dir), "page_id")
 
 
+def _landed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report documents written as lines below a folder for each source, some of them damaged, and read back."""
+    whole = F.to_json(F.struct("page_id", "data"))
+    damaged = (
+        F.when(F.col("page_id") % 10 == 0, F.left(whole, F.lit(20)))
+        .when(F.col("page_id") % 10 == 1, "[1]")
+        .when((F.col("page_id") % 10 == 2) | (F.col("page_id") % 20 == 13), " ")
+        .otherwise(whole)
+    )
+    feed = _report_feed(spark, sf_dir).select((F.col("page_id") % 20).alias("source"), damaged.alias("value"))
+    folder = f"{shared_folder(spark)}/landed-reports-{uuid.uuid4()}"
+    feed.write.partitionBy("source").text(folder)
+    schema = T.StructType([T.StructField("page_id", T.LongType()), *schemas.REPORT_FEED])
+    return landed.read_documents(spark, folder, schema, "data", per_line=True)
+
+
+@query
+def reports_landed(spark, sf_dir):
+    return feeds.normalize_reports(_landed_reports(spark, sf_dir).filter("reason IS NULL"), "page_id")
+
+
+@query
+def reports_rescued(spark, sf_dir):
+    """What did not read as a report, by source, reason and text."""
+    bad = _landed_reports(spark, sf_dir).filter("reason IS NOT NULL")
+    return bad.groupBy("source", "reason", "raw").agg(F.count("*").alias("documents"))
+
+
+@query
+def landed_status(spark, sf_dir):
+    """Sources 0 to 20, of which some landed only damaged or empty documents and the last none."""
+    registry = spark.range(21).select(F.col("id").cast("int").alias("source"))
+    return landed.landed_status(registry, _landed_reports(spark, sf_dir)).select("source", "status", "documents", "empty", "damaged")
+
+
 @query
 def reports_latest(spark, sf_dir):
     return feeds.latest_reports(feeds.normalize_reports(_report_feed(spark, sf_dir)))
@@ -598,10 +634,10 @@ def ingest_status(spark, sf_dir):
         F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"),
         F.concat(F.lit("https://example.org/src"), F.col("id").cast("string")).alias("url"),
     )
-    landed = view(spark, sf_dir, "evidence_in").select(
+    rows = view(spark, sf_dir, "evidence_in").select(
         F.col("source_name").alias("source"), F.col("source_url").alias("url")
     )
-    return feeds.ingest_status(registry, landed)
+    return feeds.ingest_status(registry, rows)
 
 
 # --- streams --------------------------------------------------------------

@@ -176,3 +176,27 @@ def test_fields_and_shape_of_raw_documents(rows):
     assert {tuple(r) for r in got.collect()} == {(1, 5, "x"), (2, None, None), (3, None, None), (4, None, None), (5, None, None)}
     assert feeds.raw_shape(docs.filter("id < 4")).first().unparsable == 1
     assert feeds.raw_shape(docs.filter("id = 1")).first().shape == "OBJECT<a: OBJECT<b: BIGINT>, c: STRING>"
+
+
+def test_damaged_documents_are_kept_beside_the_good(spark, tmp_path):
+    from aidlens import schemas
+    from aidlens.sources import landed
+
+    files = {
+        "source=a/1.json": '{"data": [{"fields": {"title": "T"}}]}', "source=a/2.json": '{"data": [', "source=a/3.json": '{"other": 1}',
+        "source=b/1.json": "", "source=c/1.json": "[1]", "source=c/2.json": '{"data":\n []}',
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(content)
+    docs = landed.read_documents(spark, str(tmp_path), schemas.REPORT_FEED, "data")
+    got = {"/".join(r.file.split("/")[-2:]): (r.reason, r.raw, r.bytes) for r in docs.collect()}
+    assert got == {
+        name: (reason, None if reason is None else files[name], len(files[name]))
+        for name, reason in zip(files, [None, "unparsable", "foreign", "empty", "foreign", None])
+    }
+    assert [r.title for r in feeds.normalize_reports(docs.filter("reason IS NULL")).collect()] == ["T"]
+    registry = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "source string")
+    status = {r.source: (r.status, r.documents, r.empty, r.damaged, r.bytes) for r in landed.landed_status(registry, docs).collect()}
+    size = lambda s: sum(len(t) for n, t in files.items() if n.startswith(f"source={s}"))
+    assert status == {"a": ("ok", 1, 0, 2, size("a")), "b": ("unavailable", 0, 1, 0, 0), "c": ("ok", 1, 0, 1, size("c")), "d": ("unavailable", 0, 0, 0, 0)}
