@@ -107,6 +107,8 @@ def test_no_record_is_dropped_or_stored_twice(spark, rows, tmp_path):
 def test_a_batch_that_runs_again_adds_nothing(spark, rows, tmp_path):
     land(tmp_path / "landing", "a.jsonl", records_of(rows, at(1, "2026-01-10T00:00:00Z"), at(2, "2026-01-11T00:00:00Z")))
     want = bounded(spark, tmp_path)
+    kept = {p.suffix for p in (tmp_path / "cp" / "state" / "0").rglob("*") if p.is_file()}
+    assert kept & {".zip", ".changelog"} and ".delta" not in kept  # RocksDB's files, not those of the default provider
     for name in os.listdir(tmp_path / "cp" / "commits"):  # as if the stream had failed after its batch
         (tmp_path / "cp" / "commits" / name).unlink()
     assert bounded(spark, tmp_path) == want
