@@ -85,7 +85,9 @@ class Vocabulary:
 
     def plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of plain chunks, each with _GONE after it, and where their pieces begin."""
-        held = ("\n".join(chunks) + "\n").lower().encode() if chunks else b""
+        if not chunks:
+            return np.empty(0, np.int32), np.empty(0, bool)
+        held = ("\n".join(chunks) + "\n").lower().encode()
         raw = np.frombuffer(held, np.uint8)
         kind = _KIND[raw]
         starts = np.ones(len(raw), bool)

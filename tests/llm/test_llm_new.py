@@ -154,6 +154,13 @@ def test_encoding_equals_the_library(library):
         assert len(encoder.known) <= 200
 
 
+@pytest.mark.parametrize("texts", [["你好"], ["<|endoftext|>"], ["\x85"], [""], [" \n"], ["你好", ""], ["a"], ["a", "你"], ["<|endoftext|>a<|startoftext|>"]])
+def test_blocks_with_chunks_of_one_kind(library, texts):
+    encoder = pair_index.Encoder(f"{tokens.folder()}/{tokens.WORD_BPE}")
+    for _ in range(2):  # new chunks, then remembered ones
+        assert [np.frombuffer(b, "<i4").tolist() for b in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_pieces_and_repeats(library):
     encoder = pair_index.Encoder(f"{tokens.folder()}/{tokens.WORD_BPE}")
     texts = ["a" * 9_999, "ab" * 200_000, "!" * 5_000, "lalala" * 4000, "1" * 3000, "é" * 4_001]
