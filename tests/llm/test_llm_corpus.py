@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from aidlens.llm import common, near_duplicates, suffix_tree
 from conftest import SMALL
 
@@ -173,66 +174,61 @@ def base_scores(rows):
     return sorted(out, key=str)
 
 
-def tree_scores(rows, shares):
-    """Scores of a tree that is grown and pruned in plain Python."""
+def hash_of(word):
+    return int(suffix_tree.END) if word is None else xxhash.xxh3_64_intdigest(word.encode())
+
+
+def tree_scores(rows, limits, dealt):
+    """Scores of a tree that is grown and pruned in plain Python; contexts of ``dealt`` hashes stay."""
     train = [tokens_of(x) for i, x in rows if not held_out(i)]
     counts = Counter(w for t in train for w in t)
-    total = sum(counts.values())
-    symbol = {w for w, n in counts.items() if n >= max(1, shares.symbol * total)}
-    of = lambda w: w if w in symbol else "<other>"
-    start = Counter()
-    for w, n in counts.items():
-        start[of(w)] += n
-    start.setdefault("<other>", 0)
-    norm = total + 0.5 * len(start)
-    least, listed = max(2.0, shares.context * total), max(1.0, shares.listed * total)
-    follow = {}
-    frequent = {()}
-    for d in range(1, shares.depth + 1):
-        seen, times = defaultdict(Counter), Counter()
-        for t in train:
-            s = [of(w) for w in t]
-            for k in range(d, len(s)):
-                if tuple(s[k - d + 1 : k]) in frequent:
-                    seen[tuple(s[k - d : k])][s[k]] += 1
-                    times[tuple(s[k - d : k])] += 1
-        times = start if d == 1 else times
-        frequent = {c for c in seen if (times[c[0]] if d == 1 else times[c]) >= least}
-        for c in frequent:
-            kept = {w: n for w, n in seen[c].items() if n >= listed}
-            follow[c] = (sum(seen[c].values()), kept)
-        frequent = set(frequent)
-
-    def chance(context, w, nodes):
-        p = (start[w] + 0.5) / norm
+    total, classes = sum(counts.values()), min(limits.classes, max(1, len(counts) // 16))
+    known = {w for w, n in counts.items() if n >= max(1, limits.known * total)}
+    signed = lambda w: hash_of(w) - (1 << 64) * (hash_of(w) >> 63)
+    of = lambda w: w if w in known else signed(w) % classes
+    mass = {c: 0.5 for c in range(classes)} | {w: counts[w] + 0.5 for w in known}
+    for w in set(counts) - known:
+        mass[of(w)] += counts[w] + 0.5
+    norm = sum(mass.values())
+    follow = defaultdict(Counter)
+    for t in train:
+        for k in range(1, len(t)):
+            for d in range(1, min(k, limits.depth) + 1):
+                follow[tuple(t[k - d : k])][of(t[k])] += 1
+    follow = {c: n for c, n in follow.items() if sum(n.values()) >= limits.least}
+
+    def chance(context, symbol, nodes):
+        p = mass[symbol] / norm
         for d in range(1, len(context) + 1):
             c = tuple(context[-d:])
             if c not in nodes:
                 break
-            n, kept = follow[c]
-            p = (kept.get(w, 0) + (len(kept) + n - sum(kept.values())) * p) / (n + len(kept))
+            n, kinds = sum(follow[c].values()), len(follow[c])
+            p = (follow[c][symbol] + kinds * p) / (n + kinds)
         return p
 
+    def context_hash(c):
+        return int(common.signed(suffix_tree.context_hashes([np.array([hash_of(w)], np.uint64) for w in c[::-1]])[-1])[0])
+
     keep = set()
-    for c, (n, kept) in follow.items():
-        gain = sum(k * math.log(k / n / chance(c[1:], w, follow)) for w, k in kept.items())
-        if gain > 0.5 * len(kept) * math.log(max(n, 2)):
+    for c, n in follow.items():
+        size = sum(n.values())
+        gain = sum(k * math.log(k / size / chance(c[1:], w, follow)) for w, k in n.items())
+        if gain > 0.5 * len(n) * math.log(max(size, 2)) or context_hash(c) in dealt:
             keep |= {c[k:] for k in range(len(c))}
-    inside = start["<other>"] + 0.5 * (len(counts) - (len(start) - 1) + 1)
     out = []
     for i, x in rows:
         t, score = tokens_of(x), 0.0
-        s = [of(w) for w in t]
         for k, w in enumerate(t):
-            score += math.log10(chance(s[max(0, k - shares.depth) : k], s[k], keep))
-            if s[k] == "<other>":
-                score += math.log10((counts[w] + 0.5) / inside)
+            score += math.log10(chance(t[max(0, k - limits.depth) : k], of(w), keep))
+            if w not in known:
+                score += math.log10((counts[w] + 0.5) / mass[of(w)])
         out.append((i, round(score, 6)))
     return sorted(out, key=str)
 
 
-def scored(df, shares=None):
-    rows = suffix_tree.score(df, shares).collect()
+def scored(df, limits=None):
+    rows = suffix_tree.score(df, limits).collect()
     base = sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows], key=str)
     return base, sorted([(r.doc_id, round(r.score, 6)) for r in rows], key=str)
 
@@ -246,13 +242,34 @@ def language(n, seed):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("shares", [suffix_tree.Shares(known=0.01, symbol=0.03, context=0.01, listed=0.001), suffix_tree.Shares(known=0.5, symbol=0.02, context=0.02, listed=0.004, depth=2)])
-def test_scores_equal_a_plain_tree(docs_of, shares):
+@pytest.mark.parametrize("limits", [
+    suffix_tree.Limits(), suffix_tree.Limits(known=0.01, classes=3), suffix_tree.Limits(known=0.5, least=4, depth=2),
+    suffix_tree.Limits(known=0.01, classes=3, bucket=300), suffix_tree.Limits(bucket=20, depth=2),
+])
+def test_scores_equal_a_plain_tree(docs_of, limits):
     rows = [(k, language(60, k)) for k in range(60)]
-    base, tree = scored(docs_of(rows, extra=True), shares)
+    df = docs_of(rows, extra=True).repartition(3, "doc_id")
+    routing = suffix_tree.learn_routing(suffix_tree.prepared(df), limits)
+    dealt = {int(k) for keys in routing.keys for k in keys}
+    assert bool(dealt) == (routing.buckets > 1) == (limits.bucket < 1000)
+    base, tree = scored(df, limits)
+    assert base == base_scores(rows)
+    plain = tree_scores(rows, limits, dealt)
+    assert [k for k, _ in tree] == [k for k, _ in plain]
+    assert [s for _, s in tree] == pytest.approx([s for _, s in plain], abs=1e-5)
+
+
+def test_one_text_of_one_word_in_most_rows(docs_of):
+    """Every context of it is too frequent for a bucket, at every length."""
+    limits = suffix_tree.Limits(bucket=100)
+    rows = [(k, "again " * 30) for k in range(40)] + [(k, language(20, k)) for k in range(40, 60)]
+    df = docs_of(rows)
+    routing = suffix_tree.learn_routing(suffix_tree.prepared(df), limits)
+    assert all(len(k) for k in routing.keys)
+    base, tree = scored(df, limits)
     assert base == base_scores(rows)
-    assert [k for k, _ in tree] == [k for k, _ in tree_scores(rows, shares)]
-    assert [s for _, s in tree] == pytest.approx([s for _, s in tree_scores(rows, shares)], abs=1e-5)
+    plain = tree_scores(rows, limits, {int(k) for keys in routing.keys for k in keys})
+    assert [s for _, s in tree] == pytest.approx([s for _, s in plain], abs=1e-5)
 
 
 def test_scores_of_odd_rows(odd, docs_of):
@@ -268,10 +285,32 @@ def test_the_tree_predicts_held_out_rows_better(spark):
     assert sum(r.score for r in rows) > 1.01 * sum(r.base_score for r in rows)
 
 
+def test_the_tree_grows_with_the_corpus(docs_of):
+    """More text of the same kind gives more contexts of two words or more, none left out by a share."""
+    def bigrams(n):
+        rng = random.Random(7)
+        words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(n)]
+        pairs = Counter(zip(words, words[1:]))
+        return sum(k > 1 for k in pairs.values()), [(1 + k, " ".join(words[k * 500 : (k + 1) * 500])) for k in range(n // 500)]
+
+    few, many = bigrams(2_000), bigrams(20_000)
+    assert many[0] > 4 * few[0]
+    for _, rows in (few, many):
+        _, tree = scored(docs_of(rows))
+        plain = tree_scores(rows, suffix_tree.Limits(), set())
+        assert [s for _, s in tree] == pytest.approx([s for _, s in plain], abs=1e-4)
+
+
 def test_chances_sum_to_one():
-    tree = suffix_tree.Tree(3, np.array([0.2, 0.3, 0.5]), [np.array([1])], [np.array([1])], [np.array([3, 5])], [np.array([4, 2])], np.array([0, 9.0]), np.array([0, 2.0]), np.array([0, 3.0]))
-    p = suffix_tree.chance(tree, [np.array([1, 1, 1])], np.arange(3))
-    assert p.sum() == pytest.approx(1)
+    start = np.array([0.2, 0.3, 0.5])
+    symbols = np.array([1] * 20 + [2] * 4 + [0, 1, 2])
+    train = np.array([1] * 24 + [0] * 3)
+    contexts = [np.full(27, 5), np.repeat([6, 7, 6], [18, 6, 3])]
+    p = suffix_tree.chances(symbols, contexts, np.full(27, 2), train, start, 2, {})
+    assert p[-3:].sum() == pytest.approx(1) and p[-2] > 0.8
+    dealt = {5: (np.array([0, 1]), np.array([2, 40]))}
+    p = suffix_tree.chances(symbols, contexts[:1], np.full(27, 2), train, start, 2, dealt)
+    assert p[-3:].sum() == pytest.approx(1) and p[-3] == pytest.approx((2 + 2 * 0.2) / 44)
 
 
 # --- pipeline ---------------------------------------------------------------
