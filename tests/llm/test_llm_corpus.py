@@ -208,7 +208,7 @@ def tree_scores(rows, limits, dealt):
         return p
 
     def context_hash(c):
-        return int(common.signed(suffix_tree.context_hashes([np.array([hash_of(w)], np.uint64) for w in c[::-1]])[-1])[0])
+        return int(common.signed(suffix_tree.context_hashes([suffix_tree.shortened(np.array([hash_of(w)], np.uint64)) for w in c[::-1]])[-1])[0])
 
     keep = set()
     for c, n in follow.items():
