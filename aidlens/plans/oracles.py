@@ -143,7 +143,7 @@ SEARCH = [
 
 CONTEXTS = (
     "contexts AS (SELECT conv_id, turn, cast(to_json(list({event: title, domain: domain, location: location, summary: summary, source: source_name, "
-    "source_url: source_url, observed_at: observed_at, affected_people: affected_people, deaths: deaths, confidence: 'unverified'} ORDER BY rank)) AS varchar) AS context "
+    "source_url: source_url, observed_at: observed_at, affected_people: affected_people, deaths: deaths, confidence: 'unverified'} ORDER BY rank)) AS varchar) AS context, cast(count(*) AS int) AS matches "
     "FROM hits JOIN evidence_in USING (seq) GROUP BY conv_id, turn)"
 )
 
@@ -363,14 +363,10 @@ ORACLES: dict[str, str] = {
     f"AS verification_state, {_display('affected_people')} AS affected_people, {_display('deaths')} AS deaths, {_UNKNOWN} AS injuries, "
     f"{_UNKNOWN} AS missing FROM records",
     "evidence_topk": _with(*SEARCH) + "SELECT conv_id, turn, seq, cast(score AS int) AS score, cast(rank AS int) AS rank FROM hits",
-    "evidence_context": _with(*SEARCH)
-    + "SELECT conv_id, turn, cast(count(*) AS int) AS matches, string_agg(source_name, ',' ORDER BY rank) AS source, "
-    "string_agg(observed_at, ',' ORDER BY rank) AS observed_at, "
-    "string_agg(coalesce(cast(deaths AS varchar), 'null'), ',' ORDER BY rank) AS deaths "
-    "FROM hits JOIN evidence_in USING (seq) GROUP BY conv_id, turn",
-    "question_evidence": _with(*SEARCH)
-    + "SELECT conv_id, turn, cast(count(seq) AS int) AS matches, count(seq) = 0 AS noted "
-    "FROM questions LEFT JOIN hits USING (conv_id, turn) GROUP BY conv_id, turn",
+    "evidence_context": _with(*SEARCH, CONTEXTS) + "SELECT conv_id, turn, context, matches FROM contexts",
+    "question_evidence": _with(*SEARCH, CONTEXTS)
+    + f"SELECT conv_id, turn, coalesce(matches, 0) AS matches, coalesce(context, {_q(fixed.NO_MATCH)}) AS context "
+    "FROM questions LEFT JOIN contexts USING (conv_id, turn)",
     # events
     "event_rollup": _with("evidence_in", _records())
     + "SELECT event_key, cast(count(*) AS bigint) AS records, cast(count(DISTINCT (source_name, source_url)) AS bigint) AS sources, "
@@ -433,6 +429,19 @@ ORACLES: dict[str, str] = {
     + "SELECT conv_id, cast(pos // 500 AS int) AS part, "
     "string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || text, chr(10) || chr(10) ORDER BY pos) AS transcript "
     "FROM numbered GROUP BY conv_id, part",
+    "transcript_export": _with(
+        "questions",
+        "numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM questions)",
+    )
+    + "SELECT conv_id, cast(pos // 500 AS int) AS part, "
+    "string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || text, chr(10) || chr(10) ORDER BY pos) AS transcript "
+    "FROM numbered WHERE conv_id % 7 <> 0 GROUP BY conv_id, part UNION ALL "
+    f"SELECT DISTINCT conv_id, 0, {_q(fixed.EMPTY_TRANSCRIPT)} FROM questions WHERE conv_id % 7 = 0",
+    "operational_csv": _with("resources")
+    + "SELECT resource_id, resource_type, warehouse, CASE WHEN available_units % 9 <> 0 THEN available_units END AS available_units, unit FROM resources",
+    "triage_export": _with("requests", SCORED)
+    + "SELECT request_id, location, zone, need_type, people_affected, requested_units, priority, status, "
+    "cast(round_even(priority_score, 0) AS int) AS priority_score FROM scored",
     "document_excerpt": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN left(text, {fixed.EXCERPT_CHARS}) ELSE {_q(fixed.BINARY_ATTACHMENT)} END AS excerpt, "
     f"CASE WHEN doc_id % 4 <> 0 THEN source WHEN doc_id % 8 <> 0 THEN lang ELSE {_q(fixed.NO_ATTACHMENT)} END AS label FROM documents",
     "display_value": _with("evidence_in")

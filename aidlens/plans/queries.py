@@ -12,7 +12,7 @@ from aidlens.functions import text
 from aidlens.operators import events, evidence, feeds, graph, questions, reports, search, triage
 from aidlens.plans.workload import table, view
 from aidlens.session import shared_folder
-from aidlens.sources import evidence_store, landed
+from aidlens.sources import evidence_store, landed, tables
 from aidlens.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,19 +245,14 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_context(spark, sf_dir):
-    """The JSON contexts, told by the fields read back from them, as engines space JSON apart."""
-    listed = F.from_json("context", "array<struct<event:string,source:string,observed_at:string,deaths:int>>")
-    joined = lambda f: F.array_join(F.transform("_list", lambda r: F.coalesce(r[f].cast("string"), F.lit("null"))), ",")
-    return _contexts(spark, sf_dir).withColumn("_list", listed).select(
-        *QUESTION, "matches", *[joined(f).alias(f) for f in ("source", "observed_at", "deaths")]
-    )
+    """The JSON contexts as texts, all fields included."""
+    return _contexts(spark, sf_dir)
 
 
 @query
 def question_evidence(spark, sf_dir):
-    """Every question with the size of its context, or the note that there is none."""
-    answered = evidence.question_evidence(_questions(spark, sf_dir), _contexts(spark, sf_dir), QUESTION)
-    return answered.select(*QUESTION, "matches", (F.col("context") == fixed.NO_MATCH).alias("noted"))
+    """Every question with its context, or the note that there is none."""
+    return evidence.question_evidence(_questions(spark, sf_dir), _contexts(spark, sf_dir), QUESTION)
 
 
 @query
@@ -413,6 +408,35 @@ def conversation_transcript(spark, sf_dir):
     return questions.conversation_transcript(_questions(spark, sf_dir))
 
 
+@query
+def transcript_export(spark, sf_dir):
+    """Exports of all known conversations; every seventh has lost its messages and gets the note."""
+    messages = view(spark, sf_dir, "questions")
+    known = messages.select("conv_id").distinct()
+    return questions.exported_transcripts(known, messages.filter("conv_id % 7 <> 0"))
+
+
+@query
+def operational_csv(spark, sf_dir):
+    """Stock written as CSV with a header and read back, blank and unknown figures included."""
+    folder = f"{shared_folder(spark)}/operational-{uuid.uuid4()}"
+    stock = view(spark, sf_dir, "resources").select(*schemas.RESOURCES.names)
+    rows = stock.withColumn("available_units", F.when(F.col("available_units") % 9 != 0, F.col("available_units")))
+    rows.write.option("header", True).csv(f"{folder}/resources.csv")
+    return tables.read_csv(spark, f"{folder}/resources.csv", schemas.RESOURCES)
+
+
+@query
+def triage_export(spark, sf_dir):
+    """The triage list written as CSV, most urgent first, and read back."""
+    folder = f"{shared_folder(spark)}/triage-{uuid.uuid4()}"
+    columns = ["request_id", "location", "zone", "need_type", "people_affected", "requested_units", "priority", "status", "priority_score"]
+    scored = _scored(spark, sf_dir).select(*columns)
+    tables.export_triage(scored, folder)
+    types = {f.name: f.dataType for f in scored.schema} | {"priority_score": T.IntegerType()}
+    return tables.read_csv(spark, folder, T.StructType([T.StructField(c, types[c]) for c in columns]))
+
+
 @query
 def document_excerpt(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

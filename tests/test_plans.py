@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from conftest import SMALL
 
 QUERIES = entry.queries()
-EAGER = {"answer_with_evidence", "stream_bounded_ingest", "evidence_topk", "evidence_context", "question_evidence", "evidence_load_tolerant", "stream_evidence_ingest", "stream_hazard_unique"}
+EAGER = {"answer_with_evidence", "operational_csv", "triage_export", "stream_bounded_ingest", "evidence_topk", "evidence_context", "question_evidence", "evidence_load_tolerant", "stream_evidence_ingest", "stream_hazard_unique"}
 
 
 def plan(spark, name):
