@@ -1,7 +1,9 @@
 """Column functions over text: identity keys, terms, matching, display."""
 
+import json
 from collections.abc import Iterable
-from functools import reduce
+from functools import cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,21 +109,67 @@ def coordinate(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.5f", F.bround(value, 5)))
 
 
-# Named character references that occur in running text.
-ENTITIES = {
-    "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&",
-}
+# A tag's attributes, where a quoted value may hold >; runs are possessive, so a page is read once.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# What is no text: comments, raw elements with their content, tags, declarations. What stays open ends with the page.
+_MARKUP = (
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"|<(script|style|template)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)|\z)"
+    rf"|</?[a-z]{_ATTRIBUTES}(?:>|\z)"
+    r"|<(?:[!?]|/(?!\z))[^>]*+(?:>|\z)"
+)
+_BLANK = " \t\n\r\f\v"
+
+
+@cache
+def _named_references() -> str:
+    """HTML's named references as JSON: first letter, name with its semicolon if it needs one, characters."""
+    found: dict[str, dict[str, str]] = {}
+    for name, characters in html5.items():
+        found.setdefault(name[0], {})[name] = characters
+    return json.dumps(found)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; what HTML forbids becomes U+FFFD, 128 to 159 are read as Windows-1252."""
+    windows = [bytes([c]).decode("cp1252", "replace") for c in range(128, 160)]
+    wrong = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return (
+        F.when(wrong, "\ufffd")
+        .when(code.between(128, 159), F.get(F.array(*map(F.lit, windows)), (code - 128).cast("int")))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+
+
+def _dereferenced(piece: Column) -> Column:
+    """A piece of text that begins with &, with its reference decoded if it is one."""
+    table = F.from_json(F.lit(_named_references()), "map<string, map<string, string>>")
+    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+    named = lambda name: F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
+    decimal = F.regexp_extract(piece, "^&#0*([0-9]+)", 1)
+    sixteen = F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+    whole, part = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(piece, f"^&({bare})", 1)
+    number = F.when(F.length(decimal) > 7, 1 << 21).when(decimal != "", decimal.cast("int"))
+    number = number.when(F.length(sixteen) > 6, 1 << 21).otherwise(F.conv(sixteen, 16, 10).cast("int"))
+    after = lambda n: F.substring(piece, n + 1, F.length(piece))
+    return (
+        F.when(piece.rlike("^&#(?:[0-9]|[xX][0-9a-fA-F])"), F.concat(_character(number), F.regexp_replace(piece, "^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")))
+        .when(named(whole).isNotNull(), F.concat(named(whole), after(F.length(whole) + 1)))
+        .when(part != "", F.concat(named(part), after(F.length(part) + 1)))
+        .otherwise(piece)
+    )
+
+
+def dereferenced(text: Column) -> Column:
+    """Text with its character references decoded once, as HTML reads them."""
+    pieces = F.transform(F.split(text, "(?=&)"), lambda p: F.when(p.startswith("&"), _dereferenced(p)).otherwise(p))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
-    """The text nodes of a page, trimmed, non-empty, joined by one space."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(?:script|style|template)\b.*?</(?:script|style|template)\s*>", "\x01")
-    nodes = F.regexp_replace(bare, r"(?s)<[^>]*>", "\x01")
-    plain = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), nodes)
-    spaced = F.translate(plain, "\u00a0", " ")
-    trimmed = F.regexp_replace(spaced, "\\s*\x01[\\s\x01]*", "\x01")
-    ends = F.regexp_replace(trimmed, "^[\\s\x01]+|[\\s\x01]+$", "")
-    return F.replace(ends, F.lit("\x01"), F.lit(" "))
+    """The text nodes of a page, trimmed, non-empty, joined by one space; null for a null page."""
+    nodes = F.transform(F.split(html, _MARKUP), lambda n: F.btrim(F.translate(dereferenced(n), "\u00a0", " "), F.lit(_BLANK)))
+    return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
 def filled(template: str, *values: Column) -> Column:

@@ -1,7 +1,7 @@
 """The same results in DuckDB SQL, one statement per query, over the same views."""
 
 from aidlens import fixed, schemas
-from aidlens.functions.text import ENTITIES, FOLDED
+from aidlens.functions.text import FOLDED
 from aidlens.operators.questions import RANKED_TERMS
 from aidlens.plans import queries as q
 from aidlens.plans.workload import view_sql
@@ -163,12 +163,18 @@ RESOURCE_TEXT = _filled(
 # --- pages ----------------------------------------------------------------
 
 
+REFERENCES = {
+    "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
+    "&eacute;": "é", "&hellip;": "…", "&#8364;": "€", "&#x41;": "A", "&#150;": "–", "&not": "¬", "&amp;": "&",
+}
+
+
 def _visible(html: str) -> str:
-    out = (
-        f"regexp_replace({html}, '(?is)<!--.*?-->|<(?:script|style|template)\\b.*?</(?:script|style|template)\\s*>', chr(1), 'g')"
-    )
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', chr(1), 'g')"
-    for entity, char in ENTITIES.items():
+    inside = """(?:=\\s*(?:"[^"]*"|'[^']*')|[^>])*"""
+    raw = "|".join(f"<{n}(?:[\\s/]{inside})?(?:>.*?(?:</{n}(?:[\\s/][^>]*)?(?:>|\\z)|\\z)|\\z)" for n in ("script", "style", "template"))
+    markup = f"(?is)<!--(?:-?>|.*?(?:--!?>|\\z))|{raw}|</?[a-z]{inside}(?:>|\\z)|<[!?/][^>]*(?:>|\\z)"
+    out = f"regexp_replace({html}, {_q(markup)}, chr(1), 'g')"
+    for entity, char in REFERENCES.items():
         out = f"replace({out}, {_q(entity)}, {_q(char)})"
     out = f"replace({out}, chr(160), ' ')"
     out = f"regexp_replace({out}, '\\s*\\x01[\\s\\x01]*', chr(1), 'g')"

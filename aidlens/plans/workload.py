@@ -64,8 +64,9 @@ SELECT conv_id, turn, role, text || ' ' || split_part('assam baadh|earthquake tr
   cast((conv_id * 8 + turn) % 15 + 1 AS int)) AS text
 FROM {conversations}""",
     "alert_pages": """
-SELECT page_id, url, html || '<p>|</p><p>Flood  warning for zone ' || cast(page_id % 10 AS string) || ' -</p><p>|</p><p>FIRE near site ' || cast(page_id % 7 AS string)
-  || '</p><p>|</p><p>Flood warning for zone ' || cast(page_id % 10 AS string) || '</p>' AS html
+SELECT page_id, url, html || '<p title="a > b">Caf&eacute; &#8364;5 &#x41;&#150;&hellip; &notit; AT&T</p><p>|</p><p>Flood  warning for zone ' || cast(page_id % 10 AS string) || ' -</p><p>|</p><p>FIRE near site ' || cast(page_id % 7 AS string)
+  || '</p><p>|</p><p>Flood warning for zone ' || cast(page_id % 10 AS string) || '</p>'
+  || CASE page_id % 4 WHEN 0 THEN '<script>x = "Flood in zone 11' WHEN 1 THEN '<!-- Fire near zone 12' WHEN 2 THEN '<a href="Rain in zone 13' ELSE '' END AS html
 FROM {pages}""",
     "reports_flat": """
 SELECT page_id, CASE WHEN page_id % 6 = 0 THEN NULL ELSE url END AS title, CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'NATION_' || cast(page_id % 25 AS string) END AS country,

@@ -1,4 +1,7 @@
+import html
+import html.entities
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +109,37 @@ def test_page_text(rows):
     assert df.first().t == "Alerts | Flood  warning for  A - | HEAT WAVE near B & C | flood warning for A | Rain x"
 
 
+def test_page_text_of_odd_markup(rows):
+    """Quoted >, comments and raw elements that stay open, references of every kind."""
+    cases = {
+        '<a title="x > y" b=\'>\' c>one</a ><br/>two': "one two",
+        "a<!-->b<!-- c > d --!>e<!-- open <p>f": "a b e",
+        "g<script src='>'>h</p></scripts></SCRIPT\n>i<style>j": "g i",
+        "1 < 2 <3 <!doctype x><?php y?></ z>k<b l": "1 < 2 <3 k",
+        "don't <p it's>m</p>": "don't m",
+        "&lt;p&gt; &amp;lt; &eacute;&AMP;&amp &notit; &notin; &unknown; & &; AT&T": "<p> &lt; é&& ¬it; ∉ &unknown; & &; AT&T",
+        "&#65;&#x1F600;&#0;&#xD800;&#150;&#99999999999;&#x000041 &#;&#x;": "A😀\ufffd\ufffd–\ufffdA &#;&#x;",
+        "&nbsp;<p>\t&nbsp;</p>\x01": "\x01",
+        "": "",
+    }
+    df = rows(list(cases.items()), "html string, want string").select(text.visible_text(F.col("html")).alias("t"), "want")
+    assert all(r.t == r.want for r in df.collect()), [(r.t, r.want) for r in df.collect() if r.t != r.want]
+    assert rows([(None,)], "html string").select(text.visible_text(F.col("html")).alias("t")).first().t is None
+
+
+def test_references_are_those_of_the_standard(rows):
+    names = [f"&{n}" for n in html.entities.html5]
+    df = rows([(n, f"x{n} y") for n in names], "name string, t string").select("name", text.dereferenced(F.col("t")).alias("t"))
+    assert {r.name: r.t for r in df.collect()} == {n: html.unescape(f"x{n} y") for n in names}
+
+
+def test_hostile_markup_takes_linear_time(rows):
+    odd = ["<a " * 200_000, "<a b=" * 100_000, "<!--" * 200_000, "<script>" * 100_000, "</" * 200_000, "=" * 100_000 + '<a "' * 100_000]
+    start = time.perf_counter()
+    rows([(o,) for o in odd], "html string").select(text.visible_text(F.col("html")).alias("t")).collect()
+    assert time.perf_counter() - start < 20
+
+
 def test_alerts_drop_repeats_of_a_detail(rows):
     got = feeds.extract_alerts(rows([(1, PAGE)], "page_id int, html string")).orderBy("pos").collect()
     assert [(r.pos, r.label, r.detail) for r in got] == [(0, "Flood", "warning for A"), (1, "HEAT WAVE", "near B & C")]
