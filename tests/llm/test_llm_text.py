@@ -144,6 +144,16 @@ def test_counts_equal_brute_force():
         assert quality_rules.rule_stats(text)[0] == reference_stats(text)
 
 
+def test_every_count_reaches_the_forest():
+    plain = prose(60, 1)
+    stats = lambda t: dict(zip(quality_rules.FEATURES, quality_rules.rule_stats(t)[1], strict=True))
+    assert stats("")["word_length"] == stats("")["log_words"] == stats("")["dup_lines"] == 0
+    assert stats("a b c\n\nd\na b c\na b c")["dup_lines"] == 0.5
+    assert stats("a b c d a b c")["repeat_words"] == 6 / 7
+    assert stats("x" * 100_000)["word_length"] == 60
+    assert stats(plain)["log_words"] == pytest.approx(np.log(1 + len(plain.split())))
+
+
 def test_paths_are_those_of_a_plain_walk():
     x = np.random.default_rng(2).normal(size=(300, 4))
     forest = quality_rules.grow(x, 20, 64, 1)
