@@ -19,11 +19,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, language and tokenizer after one batch of inserts, sent twice."""
+    """Totals by source, language and tokenizer of the whole table, after four batches.
+
+    All rows are inserted, that batch is sent again, a tenth of the ids is revised to other texts
+    while another tenth is deleted, and both are brought back, so the totals are the table's.
+    """
     store = common.Scratch(spark, "counts").folder
-    changes = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit("insert").alias("op"))
-    token_counts.commit(changes, store, "load")
-    token_counts.commit(changes, store, "load")  # the repeat of a batch adds nothing
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    part = F.pmod("doc_id", F.lit(10))
+    load = docs.withColumn("op", F.lit("insert"))
+    token_counts.commit(load, store, "load")
+    token_counts.commit(load, store, "load")  # the repeat of a batch adds nothing
+    changed = docs.withColumns({"source": F.lit("revised"), "text": F.upper("text"), "op": F.when(part == 0, "revise").otherwise("delete")})
+    token_counts.commit(changed.filter(part < 2), store, "change")
+    token_counts.commit(docs.withColumn("op", F.when(part == 0, "revise").otherwise("insert")).filter(part < 2), store, "restore")
     return token_counts.totals(spark, store)
 
 

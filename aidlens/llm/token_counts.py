@@ -110,6 +110,6 @@ def commit(
     write = lambda df, part: df.write.mode("overwrite").parquet(f"{store}/{part}/batch={batch}")
     write(come.unionByName(minus), "ledger")
     ledger = spark.read.schema(_LEDGER).parquet(f"{store}/ledger/batch={batch}")
-    write(_sums(ledger, *KEYS).coalesce(1), "rollup")
+    write(_sums(ledger, *KEYS), "rollup")
     spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{store}/commits")
     return True

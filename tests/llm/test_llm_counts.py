@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from aidlens.llm import common, packing, token_counts, tokens, training_order
+from aidlens.llm import common, packing, queries, token_counts, tokens, training_order
 from aidlens.session import shared_folder
 from conftest import SMALL
 from tokenizers import Tokenizer
@@ -189,3 +189,9 @@ def test_sorted_runs_span_batches():
     got = [t.column("k").to_pylist() for t in common.runs(batches, ["k"])]
     assert sum(got, []) == [1, 1, 1, 2, 2, 2, 3]
     assert all(not set(a) & set(b) for a, b in zip(got, got[1:]))
+
+
+def test_query_of_counts_restores_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = token_counts._sums(token_counts.count(docs), *token_counts.KEYS)
+    assert sorted(map(tuple, queries.op1_token_counts(spark, SMALL).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
