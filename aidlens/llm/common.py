@@ -1,34 +1,21 @@
 """What the operators share: written intermediate tables, words, hashes, sorted runs."""
 
-import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from aidlens.session import shared_folder
+from aidlens.session import prepare, shared_folder
 
-ROOT = str(Path(__file__).resolve().parents[2])
 #: Words are runs of anything but the space and the ASCII white space 0x09 to 0x0D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MASK64 = (1 << 64) - 1
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    On a cluster, where that folder may not exist, install the package or pass --py-files.
-    """
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, *paths]))
-
-
 class Scratch:
     """Intermediate tables of one run, in a folder of its own under the shared folder.
 

@@ -156,10 +156,14 @@ def with_evidence(answers: DataFrame, contexts: DataFrame, keys: list[str], atta
     ``attached`` names two columns of the answers, a document's name and its excerpt, which follow
     the evidence; a question without a name has no document.
     """
+    return evidence_sections(answers.join(contexts.select(*keys, "context"), keys, "left"), attached).drop("context")
+
+
+def evidence_sections(answers: DataFrame, attached: tuple[str, str] | None = None) -> DataFrame:
+    """Answers that stand beside their ``context``, or null, with it as their last section."""
     evidence = F.col("context")
     if attached:
         name, excerpt = map(F.col, attached)
         evidence = F.concat("context", F.when(name.isNotNull(), text.filled(fixed.ATTACHED, name, F.coalesce(excerpt, F.lit("")))).otherwise(F.lit("")))
     section = F.when(F.col("context").isNull(), F.lit(fixed.NO_EVIDENCE_SECTION)).otherwise(text.filled(fixed.EVIDENCE_SECTION, evidence))
-    joined = answers.join(contexts.select(*keys, "context"), keys, "left")
-    return joined.withColumn("answer", F.concat("answer", section)).drop("context")
+    return answers.withColumn("answer", F.concat("answer", section))

@@ -98,6 +98,21 @@ def test_context_is_ranked_json_with_nulls(rows):
     assert (answered[8].matches, answered[8].context) == (0, "No matching stored evidence records.")
 
 
+def test_a_record_that_many_questions_found_moves_once_a_bucket(rows, monkeypatch):
+    records = built(rows, record(1), record(2, title="Second"), record(2, title="Also second"))
+    hits = rows([(k, 1, 1) for k in range(200)] + [(k, 2, 2) for k in range(0, 200, 2)] + [(None, 1, 1), (500, 9, 1)], "qid int, seq bigint, rank int")
+    plan = evidence.context(hits, records, ["qid"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "context#" not in plan[plan.index("MapInArrow") :].split("\n", 1)[1]  # texts are joined after the last shuffle
+    monkeypatch.setattr(evidence, "BUCKET_HITS", 50)
+    got = {r.qid: r for r in evidence.context(hits, records, ["qid"]).collect()}
+    assert set(got) == {*range(200), None}
+    assert {r.matches for q, r in got.items() if q is not None and q % 2} == {1} and {r.matches for q, r in got.items() if q is not None and q % 2 == 0} == {3}
+    assert [x["event"] for x in json.loads(got[4].context)] == ["SACHET Flood alert", "Also second", "Second"]
+    asked = rows([(4, "a"), (4, "a"), (None, "b"), (777, "c"), (500, "d")], "qid int, x string")
+    rest = evidence.with_context(asked, hits, records, ["qid"]).collect()
+    assert sorted((r.x, r.matches or 0) for r in rest) == [("a", 3), ("a", 3), ("b", 0), ("c", 0), ("d", 0)]
+
+
 def full(**changes):
     base = {name: name[0] for name in schemas.EVIDENCE_REQUIRED}
     return base | changes
