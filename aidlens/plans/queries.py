@@ -671,10 +671,10 @@ def ingest_status(spark, sf_dir):
 
 @query
 def stream_evidence_ingest(spark, sf_dir):
-    """Records landed as JSON lines in three files, each id stored once, as it first came.
+    """Records landed as JSON lines three times, each id stored once, as it first came.
 
-    The later files hold other figures for ids of the first, and undated records; all
-    micro-batches together give what one pass over the files in order would.
+    A landing is written and read by many tasks. The later ones hold other figures for ids of the first, and undated records; all
+    micro-batches together give what one pass over the landings in order would.
     """
     folder = f"{shared_folder(spark)}/evidence-stream-{uuid.uuid4()}"
     undated = F.when(F.col("seq") % 11 != 0, F.col("observed_at")).otherwise("")
@@ -683,8 +683,8 @@ def stream_evidence_ingest(spark, sf_dir):
     parts = [rows.filter("seq % 3 < 2"), rows.filter("seq % 2 = 0"), rows]
     for k, part in enumerate(parts):
         later = part.withColumn("deaths", F.col("deaths") + k).withColumn("summary", F.concat(F.lit(f"{k} "), F.col("summary")))
-        later.select(evidence_store.line().alias("value")).coalesce(1).write.mode("append").text(f"{folder}/landing/{k}")
-        lines = ingest.evidence_lines(spark, f"{folder}/landing/{k}", files_per_batch=1)
+        later.select(evidence_store.line().alias("value")).write.mode("append").text(f"{folder}/landing/{k}")
+        lines = ingest.evidence_lines(spark, f"{folder}/landing/{k}", files_per_batch=100_000)
         ingest.ingest_evidence(lines, f"{folder}/store", f"{folder}/checkpoint{k}", ids_by_day=True).awaitTermination()
     return evidence_store.read_store(spark, f"{folder}/store").select(
         "record_id", "event_key", "source_name", "observed_at", "summary", "deaths", "affected_people"

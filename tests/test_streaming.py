@@ -1,8 +1,10 @@
 import json
 
 from aidlens.operators import evidence
+from aidlens.plans import queries
 from aidlens.sources import evidence_store
 from aidlens.streaming import ingest
+from conftest import SMALL
 from samples import EVIDENCE_COLUMNS, record
 
 
@@ -69,3 +71,29 @@ def test_hazards_drop_repeats(spark, tmp_path):
     hazards = ingest.hazard_files(spark, str(folder), files_per_batch=1)
     ingest.ingest_hazards(hazards, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2", "e3", "e4"]
+
+
+def test_a_landing_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_folder", lambda _: str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that small parts are not put together
+    try:
+        stored = queries.QUERIES["stream_evidence_ingest"](spark, SMALL)
+        assert stored.count() == stored.select("record_id").distinct().count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for k in range(3):
+        assert len(list(tmp_path.glob(f"evidence-stream-*/landing/{k}/part-*"))) > 1
+
+
+def test_the_state_gets_ids_and_times_alone_and_records_move_once(spark, rows, tmp_path, monkeypatch):
+    land(tmp_path / "landing", "a.jsonl", records_of(rows, *[record(k, title=f"T{k}") for k in range(5)]))
+    plans = []
+    append = ingest.CommittedTable.append
+    monkeypatch.setattr(ingest.CommittedTable, "append", lambda self, rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or append(self, rows, *a))
+    query = ingest.ingest_bounded(ingest.evidence_lines(spark, str(tmp_path / "landing")), str(tmp_path / "store"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    state = query._jsq.explainInternal(True)
+    state = state[state.index("== Optimized Logical Plan ==") : state.index("== Physical Plan ==")]
+    below = state[state.index("Deduplicate") :]
+    assert "summary" not in below.split("\n\n")[0]
+    assert [p.count("Window ") for p in plans] == [1]
