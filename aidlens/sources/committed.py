@@ -102,7 +102,7 @@ class CommittedTable:
             return known["rows"]
         data, counted = f"data/batch={name}.{uuid.uuid4().hex}", Observation()
         counting = rows.select(*self.schema.names).observe(counted, F.count(F.lit(1)).alias("rows"))
-        counting.write.partitionBy(*self.partition).parquet(f"{self.path}/{data}")
+        counting.write.option("compression", "zstd").partitionBy(*self.partition).parquet(f"{self.path}/{data}")
         written = counted.get["rows"]
         if not written:
             self.files.remove(f"{self.path}/{data}")

@@ -75,7 +75,9 @@ def ingest_bounded(
     spark = records.sparkSession
     writer = checkpoint.rstrip("/").rsplit("/", 1)[-1]
     timed = records.withColumn("_at", F.try_to_timestamp("observed_at"))
-    kept = timed.filter("_at IS NOT NULL").withWatermark("_at", delay).dropDuplicates(["record_id", "_at"])
+    # the state needs ids and times alone, so nothing else of a record is moved to it
+    ids = timed.filter("_at IS NOT NULL").select("record_id", "_at")
+    kept = ids.withWatermark("_at", delay).dropDuplicates(["record_id", "_at"])
     # the state's answer goes beside all rows: it drops what is beyond the watermark, they do not
     both = timed.withColumn("_new", F.lit(False)).unionByName(
         kept.select("record_id", F.lit(True).alias("_new")), allowMissingColumns=True
@@ -94,18 +96,18 @@ def ingest_bounded(
         before = table.commit(f"{writer}-{batch_id - 1}") if batch_id else None
         notes = json.loads(before["notes"]) if before else {"floor": _last_day(table), "latest": None}
         arrival = [*[c for c in ARRIVAL if c in rows.columns], "_line"]
-        new = rows.filter("_new").select("record_id")
+        new = rows.filter("_new").select("record_id").distinct().withColumn("_fresh", F.lit(True))
         rows = rows.filter("NOT _new").withColumn(evidence_store.DAY, evidence_store.observed_day())
         below = F.lit(notes["latest"]).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         unsure = F.col("_at").isNull() | F.coalesce(F.col("_at") <= below, F.lit(False)) | (
             F.coalesce(F.to_date("_at") <= F.lit(notes["floor"]).cast("date"), F.lit(False))
         )
-        first = evidence.first_per_record(rows, *arrival)
-        sure = first.filter(~unsure).join(new, "record_id", "left_semi")
-        asked = first.filter(unsure)
-        absent = evidence.insert_new(asked, evidence_store.of_days(table.read(), asked), *arrival)
+        held = evidence_store.of_days(table.read(), rows.filter(unsure)).select("record_id").distinct().withColumn("_held", F.lit(True))
+        # whole records are dealt by their id once; what the state and the table answer comes to them
+        first = evidence.first_per_record(rows, *arrival).join(new, "record_id", "left").join(held, "record_id", "left")
+        absent = first.filter(F.when(unsure, F.col("_held").isNull()).otherwise(F.col("_fresh").isNotNull()))
         latest = rows.select(F.greatest(F.max("_at"), F.lit(notes["latest"]).cast("timestamp")).cast("string")).first()[0]
-        table.append(sure.unionByName(absent.select(*sure.columns)), name, json.dumps({**notes, "latest": latest}))
+        table.append(absent, name, json.dumps({**notes, "latest": latest}))
         table.files.remove(staged)
 
     provider = "spark.sql.streaming.stateStore.providerClass"
