@@ -1,8 +1,8 @@
 """Quality rules (4): rule statistics of each text, judged by an isolation forest.
 
 The forest isolates a row by random splits of its statistics; rows that take few splits are
-unusual. Forest and threshold come from a bounded sample of labelled rows, every document is
-scored with them.
+unusual. Each tree grows on random rows of all labelled ones, the threshold comes from the scores
+of all of them, and every document is scored.
 """
 
 from collections.abc import Iterator
@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aidlens.llm import common
@@ -96,15 +97,21 @@ def expected_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int, rows: int, seed: int) -> Forest:
-    """A forest of ``trees`` trees, each over ``rows`` random rows of ``x``."""
+def drawn(n: int, trees: int, rows: int, seed: int) -> np.ndarray:
+    """The numbers of the random rows of each tree, of ``n``."""
     rng = np.random.default_rng(seed)
-    rows = min(rows, len(x))
+    return np.stack([rng.choice(n, min(rows, n), replace=False) for _ in range(trees)])
+
+
+def grow(x: np.ndarray, trees: int, rows: int, seed: int, draws: np.ndarray | None = None) -> Forest:
+    """A forest of ``trees`` trees, each over ``rows`` random rows of ``x``, or those that ``draws`` names."""
+    draws = drawn(len(x), trees, rows, seed) if draws is None else draws
+    rng, rows = np.random.default_rng([seed, 1]), draws.shape[1]
     limit, size = int(np.ceil(np.log2(max(rows, 2)))), 2 * rows + 1
     feature, left = np.full((trees, size), -1), np.zeros((trees, size), np.int64)
     split, path = np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
-        todo, used = [(0, x[rng.choice(len(x), rows, replace=False)], 0)], 1
+        todo, used = [(0, x[draws[t]], 0)], 1
         while todo:
             node, part, depth = todo.pop()
             low, high = part.min(0), part.max(0)
@@ -138,30 +145,79 @@ def calibrated(scores: np.ndarray, good: np.ndarray, spare: float) -> float:
     return float((cuts[best] + after) / 2) if fit[best] > 0 else float(np.inf)
 
 
+#: Scores are parted by this many bounds to be counted.
+_BINS = 65_536
+
+
+def threshold(scored: DataFrame, spare: float) -> float:
+    """``calibrated`` over the rows (score, good) of a table of any size.
+
+    Rows are counted by score; sums up to a score are those of its bin, and of the bins before,
+    of which the driver has one row each.
+    """
+    counts = scored.groupBy("score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    counts = counts.withColumn("bin", F.floor(F.col("score") * _BINS).cast("long"))
+    bins = counts.groupBy("bin").agg(F.sum("g").alias("g"), F.sum("b").alias("b")).toPandas().sort_values("bin")
+    goods, bads = int(bins["g"].sum()), int(bins["b"].sum())
+    if not goods or not bads:
+        return float(np.inf)
+    before = pd.DataFrame({"bin": bins["bin"], "g0": bins["g"].cumsum() - bins["g"], "b0": bins["b"].cumsum() - bins["b"]})
+    upto = W.partitionBy("bin").orderBy("score")
+    sums = counts.join(scored.sparkSession.createDataFrame(before, "bin long, g0 long, b0 long"), "bin").select(
+        "score", (F.col("g0") + F.sum("g").over(upto)).alias("g"), (F.col("b0") + F.sum("b").over(upto)).alias("b")
+    )
+    lost, caught = F.lit(1.0) - F.col("g") / F.lit(goods), F.lit(1.0) - F.col("b") / F.lit(bads)
+    cuts = sums.select("score", F.when(lost <= spare, caught - lost).otherwise(F.lit(-1.0)).alias("fit"))
+    best = cuts.agg(F.max(F.struct("fit", -F.col("score")))).first()[0]
+    if best[0] <= 0:
+        return float(np.inf)
+    cut = -best[1]
+    after = counts.filter(F.col("score") > cut).agg(F.min("score")).first()[0]
+    return float((cut + (cut + 1 if after is None else after)) / 2)
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, sample: int = 8000, trees: int = 200, rows: int = 256, spare: float = 0.005, seed: int = 4
+    docs: DataFrame, labels: DataFrame, sample: int | None = None, trees: int = 200, rows: int = 256, spare: float = 0.005, seed: int = 4
 ) -> Forest | None:
-    """Forest and threshold from at most ``sample`` labelled documents; None without any.
+    """Forest and threshold from all labelled documents; None without any.
 
-    The sample takes the smallest hashes of ids, and one row of each id, so it does not depend on
-    partitions and bounds the rows. Rows that the base rules reject take no part in the threshold.
-    Without good or without bad rows nothing but the base rules rejects.
+    One row of each id counts, so that copies neither add rows nor weight. A tree's rows are drawn
+    by their numbers in the order of ids, so they do not depend on partitions; ``trees`` times
+    ``rows`` rows come to the driver at most. Rows that the base rules reject take no part in the
+    threshold. Without good or without bad rows nothing but the base rules rejects. A caller may
+    ask for the labelled ids of the ``sample`` smallest hashes alone.
     """
-    chosen = (
-        labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    # of the rows of one id that of the least text hash, so that copies neither add rows nor weight
+    scratch = common.Scratch(docs.sparkSession, "quality")
+    chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    if sample is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # of the rows of one id that of the least text hash
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
-    rows_of = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(one)
-    known = measured(rows_of.select("doc_id", "quality", "one.text"), None, "quality")
-    got = known.select("doc_id", "_features", "quality", "base_failed").toPandas().sort_values("doc_id")
-    if not len(got):
+    rows_of = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(one)
+    known = scratch.table(measured(rows_of.select("doc_id", "quality", "one.text"), None, "quality").select("doc_id", "_features", "quality", "base_failed"), "measured")
+    # numbers in the order of ids: those within a part of the sorted rows, after the rows of the parts before
+    known = scratch.table(known.orderBy("doc_id").withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    sizes = known.groupBy(part.alias("part")).count().toPandas().sort_values("part")
+    n = int(sizes["count"].sum())
+    if not n:
         return None
-    x = np.array(got["_features"].tolist())
-    forest = grow(x, trees, rows, seed)
-    passed = ~got["base_failed"].to_numpy()
-    forest.threshold = calibrated(forest.score(x)[passed], got["quality"].to_numpy()[passed] > 0, spare)
+    draws = drawn(n, trees, rows, seed)
+    number = np.unique(draws)
+    of = np.searchsorted(np.cumsum(sizes["count"].to_numpy()), number, "right")
+    at = (sizes["part"].to_numpy(np.int64)[of] << 33) + number - (np.cumsum(sizes["count"].to_numpy()) - sizes["count"].to_numpy())[of]
+    wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"_at": at}), "_at long")
+    got = known.join(wanted, "_at").select("_at", "_features").toPandas().sort_values("_at")
+    forest = grow(np.array(got["_features"].tolist()), trees, rows, seed, np.searchsorted(number, draws))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("_features").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(forest.score(x)), batch.column("good")], names=["score", "good"])
+
+    passed = known.filter("not base_failed").select("_features", (F.col("quality") > 0).alias("good"))
+    forest.threshold = threshold(scratch.table(passed.mapInArrow(scores, "score double, good boolean"), "scores"), spare)
     return forest
 
 

@@ -476,3 +476,24 @@ def test_held_out_accuracy(spark):
 def test_weak_labels_over_odd_rows(odd, docs_of):
     assert weak_labels.classify(docs_of([]), weak_labels.fit(docs_of([]))).collect() == []
     assert len(weak_labels.classify(odd, weak_labels.fit(odd)).collect()) == len(ODD)
+
+
+def test_forest_and_threshold_come_from_all_labelled_rows(spark, rows):
+    """The threshold by counts equals the one over all scores at once, and no labelled row is left out."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    good = rng.random(3000) < 0.8
+    scores = np.round(np.where(good, rng.normal(0.4, 0.05, 3000), rng.normal(0.5, 0.05, 3000)), 3).clip(0, 1)
+    table = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "score double, good boolean").repartition(4)
+    for spare in (0.0, 0.005, 0.2):
+        assert quality_rules.threshold(table, spare) == pytest.approx(quality_rules.calibrated(scores, good, spare))
+    assert quality_rules.threshold(table.filter("good"), 0.1) == np.inf
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), (F.col("doc_id") * k).cast("string"))))
+    docs = spark.range(1, 9001).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    read, grow = [], quality_rules.grow
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "threshold", lambda scored, spare: read.append(scored.count()) or 1.0)
+        m.setattr(quality_rules, "grow", lambda x, *rest: read.append((len(x), rest[-1].shape)) or grow(x, *rest))
+        quality_rules.fit(docs, docs.select("doc_id", F.lit(1.0).alias("quality")), trees=200)
+    assert read[0][0] > 8900 and read[0][1] == (200, 256) and read[1] == 9000
