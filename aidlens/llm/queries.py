@@ -70,7 +70,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+    return suffix_tree.score(_table(spark, sf_dir, "documents"), suffix_tree.Limits(stay=False))
 
 
 def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

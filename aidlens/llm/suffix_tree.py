@@ -9,7 +9,10 @@ The tree grows with the corpus: a context needs ``least`` occurrences, at every
 collected or sent to all tasks. All contexts that end in one word meet in one bucket with all
 positions behind them, so a bucket counts, tests and scores its branch of the tree by itself, and
 buckets are added with the positions. A context too frequent for one bucket is dealt to several
-by its next older word; its counts, summed beforehand, are sent to those.
+by its next older word; its counts, summed beforehand, are sent to those, so that each can test it
+by all its occurrences. Whether a longer kept context ends in it only all of them know together:
+where it fails the test, a bucket says what its positions would gain if it were kept, and that
+is added if any bucket has kept a longer one. No score depends on where positions went.
 
 Next words are told apart by symbols: frequent words by themselves, the others by ``classes`` hash
 classes and, within a class, by their counts, which are joined. Only the counts of words of at
@@ -31,7 +34,7 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 FOLDS, HELD_OUT = 5, 1
 _ROW = "row long, doc_id long, held_out int, n_tokens long, n_known long, log_known double, log_class double, log_first double, rare binary"
 _SENT = f"bucket int, hot long, blob binary, {_ROW}"
-_SUMS = f"chunk long, sums binary, {_ROW}"
+_SUMS = f"chunk long, hot long, sums binary, {_ROW}"
 _UNIT = 1e6  # sums of log10 chances are whole numbers of millionths, so their order does not matter
 _CHUNK = 1_000_000  # tokens handled at a time within a task
 
@@ -41,8 +44,8 @@ class Limits:
     """``known``: share from which a word's count is sent to the tasks. ``classes``: most classes of
     the other words. ``least``: training occurrences a context needs. ``depth``: its most words.
     ``bucket``: positions a bucket is to hold. ``sample``: documents from which contexts too
-    frequent for a bucket are told; it decides where positions go, and that such a context, which
-    occurs more often than any test could doubt, is kept untested."""
+    frequent for a bucket are told; it decides where positions go. ``stay``: keep those without the
+    test, so that scores depend on the buckets; without it they do not."""
 
     known: float = 2e-7
     classes: int = 65_536
@@ -50,6 +53,7 @@ class Limits:
     depth: int = 3
     bucket: int = 1_000_000
     sample: int = 1000
+    stay: bool = True
 
 
 @dataclass
@@ -451,14 +455,36 @@ def coded(docs: DataFrame, words: Words, routing: Routing, depth: int) -> DataFr
 # --- the tree, bucket by bucket -------------------------------------------
 
 
+@dataclass
+class Undecided:
+    """What other buckets decide: ``kept`` are contexts dealt out that fail the test but have a longer
+    kept one here. ``open`` are those that have none: context, its positions, their chances after
+    it and after the next shorter one."""
+
+    kept: set[int] = field(default_factory=set)
+    open: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+
+
+def _diverges(chain: list[int], hot: dict[int, tuple[np.ndarray, np.ndarray]], start: np.ndarray) -> bool:
+    """The test of a context by all its counts; ``chain`` are its suffixes from the shortest and itself."""
+    symbols, n = hot[chain[-1]]
+    shorter = start[symbols]
+    for c in chain[:-1]:
+        times = look_up(*hot[c], symbols, 0)
+        shorter = (times + len(hot[c][0]) * shorter) / (hot[c][1].sum() + len(hot[c][0]))
+    gain = np.bincount(np.zeros(len(n), np.int64), n * np.log(n / n.sum() / shorter))[0]
+    return bool(gain > 0.5 * len(n) * np.log(max(n.sum(), 2)))
+
+
 def chances(
     symbols: np.ndarray, contexts: list[np.ndarray], reach: np.ndarray, train: np.ndarray, start: np.ndarray, least: int,
-    hot: dict[int, tuple[np.ndarray, np.ndarray]],
+    hot: dict[int, tuple[np.ndarray, np.ndarray]], undecided: Undecided | None = None, stay: bool = False,
 ) -> np.ndarray:
     """The chance of each position's symbol after its longest kept context.
 
     ``contexts`` are hashes by length, ``reach`` the number of words before a position, ``train``
-    1 where it counts. ``hot`` has the symbols and counts of contexts that other buckets share.
+    1 where it counts. ``hot`` has the symbols and counts of contexts that other buckets share,
+    ``undecided`` takes what those have to say about them, and with ``stay`` they are kept.
     """
     width = len(start)
     chain = start[symbols]  # by all contexts so far, kept or not
@@ -490,15 +516,24 @@ def chances(
         seen = times > 0
         # divergence of what the context was followed by from its suffix, in nats over all its occurrences
         gain = np.bincount(of[seen], times[seen] * np.log(times[seen] / total[of[seen]] / shorter[seen]), len(total))
-        keep = dealt | (gain > 0.5 * kinds * np.log(np.maximum(total, 2)))
+        keep = gain > 0.5 * kinds * np.log(np.maximum(total, 2))
         p = ((times + kinds[of] * shorter) / (total + kinds)[of])[entry]
         _, head = np.unique(node, return_index=True)
-        levels.append((alive, node, keep, above[alive[head]], p))
+        for k in np.flatnonzero(dealt).tolist():  # here are not all of its symbols
+            keep[k] = stay or _diverges([int(c[alive[head[k]]]) for c in contexts[:d]], hot, start)
+        open_ = []
+        for k in np.flatnonzero(dealt & ~keep).tolist():
+            there = np.flatnonzero(node == k)
+            open_.append((k, int(different[k]), alive[there], p[there], chain[alive[there]]))
+        levels.append((alive, node, keep, above[alive[head]], p, open_))
         chain[alive], above[alive] = p, node
-    for (_, _, keep, _, _), (_, _, longer, suffix, _) in zip(levels[-2::-1], levels[:0:-1]):
+    for (_, _, keep, *_), (_, _, longer, suffix, *_) in zip(levels[-2::-1], levels[:0:-1]):
         keep[suffix[longer]] = True
-    for alive, node, keep, _, p in levels:
+    for alive, node, keep, _, p, open_ in levels:
         out[alive[keep[node]]] = p[keep[node]]
+        if undecided is not None:
+            undecided.kept |= {context for k, context, *_ in open_ if keep[k]}
+            undecided.open += [of_context for k, *of_context in open_ if not keep[k]]
     return out
 
 
@@ -514,7 +549,7 @@ def _scored(rows: DataFrame, words: Words, limits: Limits, buckets: int) -> Data
         for batch in batches:
             own = batch.filter(batch.column("row").is_valid())
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(own.num_rows, pa.int64()), pa.nulls(own.num_rows, pa.binary()), *own.select(names).columns], names=["chunk", "sums", *names])
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary())], *own.select(names).columns], names=["chunk", "hot", "sums", *names])
             rest = batch.filter(batch.column("row").is_null())
             for number, context, blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", "hot", "blob"))):
                 if context is None:
@@ -522,15 +557,21 @@ def _scored(rows: DataFrame, words: Words, limits: Limits, buckets: int) -> Data
                 else:
                     hot[context] = tuple(np.frombuffer(blob, "<i8").reshape(2, -1))
         for number in sorted(blobs):
-            chunks, sums = score_bucket(blobs.pop(number), words, start, limits.least, hot)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(sums, pa.binary()), *[pa.nulls(len(sums), t) for t in kinds]], names=["chunk", "sums", *names])
+            chunks, contexts, sums = score_bucket(blobs.pop(number), words, start, limits, hot)
+            own = [pa.array(chunks, pa.int64()), pa.array(contexts, pa.int64()), pa.array(sums, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sums), t) for t in kinds]], names=["chunk", "hot", "sums", *names])
 
     kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[c.split()[1]] for c in _ROW.split(", ")]
     return rows.repartitionById(buckets, "bucket").mapInArrow(run, _SUMS)
 
 
-def score_bucket(blobs: list[bytes], words: Words, start: np.ndarray, least: int, hot: dict) -> tuple[list[int], list[bytes]]:
-    """Chunks, and the sums of their rows' log10 chances, from all positions of a bucket."""
+def score_bucket(
+    blobs: list[bytes], words: Words, start: np.ndarray, limits: Limits, hot: dict,
+) -> tuple[list[int | None], list[int | None], list[bytes | None]]:
+    """Chunks, contexts, and the sums of the chunks' rows' log10 chances, from all positions of a bucket.
+
+    Sums beside a context count if it is kept; a context without sums is kept.
+    """
     chunks, rows, times, train, symbols, older, reach = [], [], [], [], [], [], []
     while blobs:
         chunk, (row, n, verdict, known, others, classes, codes) = _unpack(blobs.pop())
@@ -545,14 +586,29 @@ def score_bucket(blobs: list[bytes], words: Words, start: np.ndarray, least: int
         reach.append((codes[1:] > 0).sum(0).astype(np.int8))
     contexts = [common.signed(c) for c in context_hashes(list(np.concatenate(older, axis=1)))]
     del older
-    log = np.log10(chances(np.concatenate(symbols), contexts, np.concatenate(reach), np.concatenate(train), start, least, hot))
-    sums, first = [], 0
-    for row, n in zip(rows, times):
-        last = first + int(n.sum())
-        of_row = np.rint(np.add.reduceat(log[first:last], np.cumsum(n) - n) * _UNIT).astype("<i8")
-        sums.append(_pack([_planes(np.diff(row, prepend=0).astype("<i8")), _planes(of_row)]))
-        first = last
-    return chunks, sums
+    undecided = Undecided()
+    log = np.log10(chances(np.concatenate(symbols), contexts, np.concatenate(reach), np.concatenate(train), start, limits.least, hot, undecided, limits.stay))
+    ends = np.cumsum([int(n.sum()) for n in times])
+    of_chunks, of_contexts, sums = list(chunks), [None] * len(chunks), []
+    for row, n, last in zip(rows, times, ends.tolist()):
+        first = last - int(n.sum())
+        sums.append(_packed_sums(row, np.add.reduceat(log[first:last], np.cumsum(n) - n)))
+    for context, at, after, before in undecided.open:
+        more = np.log10(after / before)
+        cuts = np.searchsorted(at, ends)  # positions are in order
+        for k, (a, b) in enumerate(zip([0, *cuts.tolist()], cuts.tolist())):
+            if a < b:
+                of = np.searchsorted(np.cumsum(times[k]), at[a:b] - (ends[k] - times[k].sum()), "right")
+                there, at_row = np.unique(of, return_inverse=True)
+                of_chunks.append(chunks[k])
+                of_contexts.append(context)
+                sums.append(_packed_sums(rows[k][there], np.bincount(at_row, more[a:b])))
+    kept = sorted(undecided.kept)
+    return of_chunks + [None] * len(kept), of_contexts + kept, sums + [None] * len(kept)
+
+
+def _packed_sums(rows: np.ndarray, sums: np.ndarray) -> bytes:
+    return _pack([_planes(np.diff(rows, prepend=0).astype("<i8")), _planes(np.rint(sums * _UNIT).astype("<i8"))])
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -602,8 +658,13 @@ def score(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     found = rare.join(counts.filter(F.col("n") < sent), "key", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("log_rare"), F.count("n").alias("n_rare")
     )
-    sums = rows.filter("chunk is not null").select("chunk", "sums").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_row_sums, "row long, log_tree double")
-    own = rows.filter("row is not null").drop("chunk", "sums", "rare")
+    # at most the contexts that are dealt out, which the routing holds
+    kept = rows.filter("chunk is null and hot is not null").groupBy("hot").agg(F.lit(True).alias("kept"))
+    sums = rows.filter("chunk is not null").select("chunk", "hot", "sums")
+    if routing.goals:
+        sums = sums.join(F.broadcast(kept), "hot", "left").filter("hot is null or kept")
+    sums = sums.select("chunk", "sums").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_row_sums, "row long, log_tree double")
+    own = rows.filter("row is not null").drop("chunk", "hot", "sums", "rare")
     both = own.join(sums, "row", "left").join(found, "row", "left").na.fill({"log_tree": 0.0, "log_rare": 0.0, "n_rare": 0})
     base = F.col("log_known") + F.col("log_rare") - F.col("n_tokens") * words.base
     return both.select(

@@ -272,6 +272,30 @@ def test_one_text_of_one_word_in_most_rows(docs_of):
     assert [s for _, s in tree] == pytest.approx([s for _, s in plain], abs=1e-5)
 
 
+def after_two(n, seed):
+    """The word after next is the same after one word; a single word tells nothing of the next."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        out.append("w0" if k > 1 and out[-2] == "w0" and rng.random() < 0.9 else f"w{rng.randrange(8)}")
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("bucket", [1_000_000, 700, 100, 20])
+def test_scores_do_not_depend_on_the_buckets(docs_of, bucket):
+    """Contexts that are dealt out are tested as others are, with the longer ones of all buckets."""
+    rows = [(k, after_two(50, k)) for k in range(60)] + [(k, "again " * 30) for k in range(60, 70)]
+    limits = suffix_tree.Limits(bucket=bucket, stay=False)
+    df = docs_of(rows).repartition(3, "doc_id")
+    routing = suffix_tree.learn_routing(suffix_tree.prepared(df), limits)
+    dealt = {int(k) for keys in routing.keys for k in keys}
+    assert bool(dealt) == (bucket < 1000)
+    _, tree = scored(df, limits)
+    plain = [s for _, s in tree_scores(rows, limits, set())]
+    assert [s for _, s in tree] == pytest.approx(plain, abs=1e-4)
+    if bucket <= 100:
+        assert [s for _, s in tree_scores(rows, limits, dealt)] != pytest.approx(plain, abs=1e-4)
+
+
 def test_scores_of_odd_rows(odd, docs_of):
     base, _ = scored(odd)
     assert base == base_scores(ODD)
