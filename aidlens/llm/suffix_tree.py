@@ -19,7 +19,7 @@ classes and, within a class, by their counts, which are joined. Only the counts
 least the share ``known`` and of the classes are sent to the tasks, so their number is bounded.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +37,7 @@ _SENT = f"bucket int, hot long, blob binary, {_ROW}"
 _SUMS = f"chunk long, hot long, sums binary, {_ROW}"
 _UNIT = 1e6  # sums of log10 chances are whole numbers of millionths, so their order does not matter
 _CHUNK = 1_000_000  # tokens handled at a time within a task
+_WHOLE, _TOGETHER = 2, 2  # buckets' positions up to which a context stays whole, and buckets of a task
 
 
 @dataclass
@@ -100,12 +101,15 @@ class Words:
 @dataclass
 class Routing:
     """The number of buckets, and by length the contexts that are dealt to several, sorted, with
-    the number of their shares; ``goals`` are the buckets that need the counts of such a context."""
+    the number of their shares; ``goals`` are the buckets that need the counts of such a context.
+    ``whole`` are less frequent ones that fill much of a bucket, sorted, with the bucket they get."""
 
     buckets: int = 1
     keys: list[np.ndarray] = field(default_factory=list)
     shares: list[np.ndarray] = field(default_factory=list)
     goals: list[tuple[int, int]] = field(default_factory=list)
+    whole: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    total: int = 1  # buckets, with those of their own
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
@@ -161,12 +165,17 @@ def shortened(words: np.ndarray) -> np.ndarray:
 def context_hashes(older: list[np.ndarray]) -> list[np.ndarray]:
     """One hash for the last word, the last two, and so on; ``older`` holds words by distance, as ``shortened``."""
     out = [older[0]]
-    with np.errstate(over="ignore"):
-        for w in older[1:]:
-            out.append(common.mixed(out[-1] * _STEP + w + np.uint64(1)))
+    for w in older[1:]:
+        out.append(longer_hashes(out[-1], w))
     return out
 
 
+def longer_hashes(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hashes of contexts with a word before them."""
+    with np.errstate(over="ignore"):
+        return common.mixed(contexts * _STEP + words + np.uint64(1))
+
+
 def _contexts_of(tokens: np.ndarray, place: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
     """Context hashes of the positions ``at``; 0 where the row begins later."""
     older = [np.where(place[at] >= d, shortened(tokens[np.maximum(at - d, 0)]), np.uint64(0)) for d in range(1, depth + 1)]
@@ -181,24 +190,47 @@ def _share(context: np.ndarray, share: np.ndarray, buckets: int) -> np.ndarray:
         return common.mixed(context + (share.astype(np.uint64) + np.uint64(1)) * _STEP) % np.uint64(buckets)
 
 
-def route(routing: Routing, contexts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+def dealt_out(
+    routing: Routing, tokens: np.ndarray, place: np.ndarray, at: np.ndarray,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length, of the positions ``at`` whose shorter contexts are all dealt out: which these are,
+    and their contexts, shares (0: not dealt out) and next longer contexts (0 where the row begins, or
+    beyond the greatest length)."""
+    some, context = np.arange(len(at)), shortened(tokens[at - 1])
+    for d, keys in enumerate(routing.keys, 1):
+        shares = look_up(keys, routing.shares[d - 1], common.signed(context), 0)
+        longer = np.zeros(len(some), np.uint64)
+        if d < len(routing.keys):
+            there = np.flatnonzero((shares > 0) & (place[at[some]] > d))
+            longer[there] = longer_hashes(context[there], shortened(tokens[at[some[there]] - d - 1]))
+        yield d, some, context, shares, longer
+        more = shares > 0
+        some, context = some[more], longer[more]
+        if not len(some):
+            return
+
+
+def route(routing: Routing, tokens: np.ndarray, place: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The bucket of each position: that of its shortest context that is not dealt out."""
-    out = contexts[0] % np.uint64(routing.buckets)
-    at = np.arange(len(out))
-    for d, keys in enumerate(routing.keys):
-        shares = look_up(keys, routing.shares[d], common.signed(contexts[d][at]), 0)
-        at, shares = at[shares > 0], shares[shares > 0]
-        if not len(at):
-            break
-        next_older = contexts[d + 1][at] if d + 1 < len(contexts) else rows[at].astype(np.uint64)
-        out[at] = _share(contexts[d][at], common.mixed(next_older) % shares.astype(np.uint64), routing.buckets)
-    return out.astype(np.int64)
+    out = np.zeros(len(at), np.int32)
+    if routing.total == 1:
+        return out
+    out[:] = shortened(tokens[at - 1]) % np.uint64(routing.buckets)
+    for d, some, context, shares, longer in dealt_out(routing, tokens, place, at):
+        own = look_up(*routing.whole[d - 1], common.signed(context), -1)
+        out[some[own >= 0]] = own[own >= 0]
+        more = shares > 0
+        some, next_older = some[more], longer[more] if d < len(routing.keys) else rows[some[more]].astype(np.uint64)
+        out[some] = _share(context[more], common.mixed(next_older) % shares[more].astype(np.uint64), routing.buckets)
+    return out
 
 
 def learn_routing(docs: DataFrame, limits: Limits) -> Routing:
     """Buckets for all positions, and what is too frequent for one, from a sample by hash.
 
-    At most 2 * ``depth`` * buckets contexts are told.
+    At most 2 * ``depth`` * buckets contexts are told. Those of more than ``_WHOLE`` buckets'
+    positions are dealt out; others that fill half a bucket get buckets of their own, several to
+    one as long as it is not overfull, so that no bucket has much more than that.
     """
     depth = limits.depth
     step = max(1, docs.count() // limits.sample)
@@ -223,15 +255,27 @@ def learn_routing(docs: DataFrame, limits: Limits) -> Routing:
         return Routing()
     buckets = max(1, -(-total * step // limits.bucket))
     often = counts.filter((F.col("d") > 0) & (F.col("n") > max(16, total / buckets / 2))).collect() if buckets > 1 else []
-    out = Routing(int(buckets))
-    goals = set()
+    out = Routing(int(buckets), total=int(buckets))
+    goals, dealt, fill, room = set(), {0: {0}}, total / buckets, 0
     for d in range(1, depth + 1):
-        here = sorted((r[f"c{d}"], int(r.n * 2 * buckets // total) + 1, r) for r in often if r.d == d)
+        # what has a suffix that is whole is with it
+        told = sorted((r[f"c{d}"], int(r.n), r) for r in often if r.d == d and (r[f"c{d - 1}"] if d > 1 else 0) in dealt[d - 1])
+        here = [(c, int(n // fill) + 1, r) for c, n, r in told if n > max(16, _WHOLE * fill)]
+        dealt[d] = {c for c, *_ in here}
         out.keys.append(np.array([c for c, *_ in here], np.int64))
         out.shares.append(np.array([s for _, s, _ in here], np.int64))
+        own = {}
+        for c, n, _ in sorted(told, key=lambda x: -x[1]):
+            if c not in dealt[d]:
+                if n > room:
+                    out.total, room = out.total + 1, max(n, _WHOLE * fill)
+                own[c], room = out.total - 1, room - n
+        out.whole.append((np.array(sorted(own), np.int64), np.array([own[c] for c in sorted(own)], np.int64)))
         for c, s, r in here:
             for b in _share(np.full(s, np.uint64(c & common.MASK64)), np.arange(s), out.buckets).tolist():
                 goals |= {(r[f"c{k}"], int(b)) for k in range(1, d + 1)}
+        # a longer context that is whole needs the counts of its suffixes in its bucket
+        goals |= {(r[f"c{k}"], own[c]) for c, _, r in told if c in own for k in range(1, d)}
     out.goals = sorted(goals)
     return out
 
@@ -276,19 +320,18 @@ def word_counts(docs: DataFrame, routing: Routing) -> DataFrame:
     with hot 0, and of the words after each context that is dealt out, with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, depth = Sums(), len(routing.keys)
+        sums = Sums()
         for _, tokens, n in _chunks(batches):
             yield from sums.add(common.signed(tokens))
             place = _places(n)
             at = np.flatnonzero(place)
-            if any(map(len, routing.keys)):
-                contexts = _contexts_of(tokens, place, at, depth)
-                for d, keys in enumerate(routing.keys):
-                    hot = look_up(keys, np.ones(len(keys), np.int64), common.signed(contexts[d]), 0) > 0
-                    context, word = contexts[d][hot], tokens[at[hot]]
+            for _, some, context, shares, _ in dealt_out(routing, tokens, place, at):
+                hot = shares > 0
+                context, word = context[hot], tokens[at[some[hot]]]
+                with np.errstate(over="ignore"):
                     _, first, times = np.unique(common.mixed(context * _STEP + word), return_index=True, return_counts=True)
-                    if len(first):
-                        yield _counted(common.signed(context[first]), common.signed(word[first]), times)
+                if len(first):
+                    yield _counted(common.signed(context[first]), common.signed(word[first]), times)
         yield from sums.rest()
 
     found = docs.filter("not held_out").select("text").mapInArrow(run, "hot long, key long, n long")
@@ -320,7 +363,7 @@ def hot_counts(entries: DataFrame, words: Words, routing: Routing) -> DataFrame:
         for t in common.runs(batches, ["hot"]):
             starts = np.append(common.group_starts(t, ["hot"]), t.num_rows)
             hot, symbol, n = (t.column(c).to_numpy() for c in ("hot", "symbol", "n"))
-            blobs = [np.concatenate([symbol[a:b], n[a:b]]).astype("<i8").tobytes() for a, b in zip(starts, starts[1:])]
+            blobs = [_pack([_planes(np.diff(symbol[a:b], prepend=0).astype("<i8")), _planes(n[a:b].astype("<i8"))]) for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(hot[starts[:-1]]), pa.array(blobs, pa.binary())], names=["hot", "blob"])
 
     by = entries.mapInArrow(symbols, "hot long, symbol long, n long").groupBy("hot", "symbol").agg(F.sum("n").alias("n"))
@@ -388,11 +431,12 @@ def coded(docs: DataFrame, words: Words, routing: Routing, depth: int) -> DataFr
         for table, tokens, n in _chunks(batches):
             tokens = common.signed(tokens)
             different, code = np.unique(tokens, return_inverse=True)
+            code = code.astype(np.int32)
             known = (place := words.places(different)) >= 0
             log = np.where(known, np.log10(counts[place] + 0.5), 0.0)
             classes = np.where(known, 0.0, within[words.classes_of(different)])
             first = np.cumsum(n) - n
-            of = np.repeat(np.arange(len(n)), n)
+            of = np.repeat(np.arange(len(n), dtype=np.int32), n)
             sums = lambda of_word: np.bincount(of, of_word[code], len(n))
             is_known = known[code]
             n_known = np.bincount(of, is_known, len(n)).astype(np.int64)
@@ -401,7 +445,7 @@ def coded(docs: DataFrame, words: Words, routing: Routing, depth: int) -> DataFr
             class_of = words.classes_of(different)
             symbol = np.where(known, place, len(words.hashes) + class_of)
             yield batch(
-                len(n), bucket=(row % routing.buckets).astype(np.int32), row=row, doc_id=table.column("doc_id").combine_chunks(), held_out=verdict, n_tokens=n,
+                len(n), bucket=(row % routing.total).astype(np.int32), row=row, doc_id=table.column("doc_id").combine_chunks(), held_out=verdict, n_tokens=n,
                 n_known=n_known, log_known=sums(log), log_class=sums(classes), log_first=np.log10(start[symbol[code[first]]]), rare=rare,
             )
             numbers, blobs = [], []
@@ -412,27 +456,27 @@ def coded(docs: DataFrame, words: Words, routing: Routing, depth: int) -> DataFr
                 yield batch(len(blobs), bucket=numbers, blob=blobs)
 
     def _positions(tokens, different, code, place, class_of, of, n, row, verdict) -> Iterator[tuple[int, bytes]]:
-        in_row = _places(n)
+        in_row = _places(n).astype(np.int32)
         at = np.flatnonzero(in_row)
-        bucket = route(routing, _contexts_of(tokens.view(np.uint64), in_row, at, depth), row[of[at]])
-        bucket = bucket.astype(np.uint16) if routing.buckets < 1 << 16 else bucket
+        bucket = route(routing, tokens.view(np.uint64), in_row, at, row[of[at]])
+        bucket = bucket.astype(np.uint16) if routing.total < 1 << 16 else bucket
+        at = at.astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         numbers, starts = np.unique(bucket[order], return_index=True)
         known, parts = place >= 0, np.split(at[order], starts[1:])
         del bucket, order, at
         older_code, next_code = np.zeros(len(different) + 1, np.int64), np.zeros(len(different), np.int64)
 
-        def used(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def used(codes: np.ndarray) -> np.ndarray:
             seen = np.zeros(len(different) + 1, bool)
             seen[codes] = True
-            seen = np.flatnonzero(seen[1:])
-            return seen[known[seen]], seen[~known[seen]]
+            return seen[1:]
 
         for number, some in zip(numbers.tolist(), parts):
             following = code[some]
             older = np.stack([np.where(in_row[some] >= d, code[np.maximum(some - d, 0)] + 1, 0) for d in range(1, depth + 1)])
-            (known_next, rare_next), (known_older, rare_older) = used(following + 1), used(older)
-            both = np.union1d(known_next, known_older)
+            is_next, is_older = used(following + 1), used(older)
+            both, rare_next, rare_older = (np.flatnonzero(x) for x in ((is_next | is_older) & known, is_next & ~known, is_older & ~known))
             both = both[np.argsort(place[both])]  # the most frequent get the least codes
             older_code[both + 1] = next_code[both] = np.arange(1, len(both) + 1)
             older_code[rare_older + 1] = len(both) + np.arange(1, len(rare_older) + 1)
@@ -465,6 +509,24 @@ class Undecided:
     open: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
 
+def _grouped(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys from 0 to below ``bound``, equal ones in theirs; where each key begins in it, and the different keys."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if bound <= 1 << (63 - bits):  # key and place in one number, which sorts faster than keys by their places
+        keys = keys << bits
+        keys |= np.arange(len(keys))
+        keys.sort()
+        order = (keys & ((1 << bits) - 1)).astype(np.int32)
+        keys >>= bits
+    else:
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    begins = np.flatnonzero(new)
+    return order, begins, keys[begins]
+
+
 def _diverges(chain: list[int], hot: dict[int, tuple[np.ndarray, np.ndarray]], start: np.ndarray) -> bool:
     """The test of a context by all its counts; ``chain`` are its suffixes from the shortest and itself."""
     symbols, n = hot[chain[-1]]
@@ -479,58 +541,76 @@ def _diverges(chain: list[int], hot: dict[int, tuple[np.ndarray, np.ndarray]], s
 def chances(
     symbols: np.ndarray, contexts: list[np.ndarray], reach: np.ndarray, train: np.ndarray, start: np.ndarray, least: int,
     hot: dict[int, tuple[np.ndarray, np.ndarray]], undecided: Undecided | None = None, stay: bool = False,
+    named: Callable[[int, np.ndarray], np.ndarray] | None = None,
 ) -> np.ndarray:
     """The chance of each position's symbol after its longest kept context.
 
-    ``contexts`` are hashes by length, ``reach`` the number of words before a position, ``train``
-    1 where it counts. ``hot`` has the symbols and counts of contexts that other buckets share,
-    ``undecided`` takes what those have to say about them, and with ``stay`` they are kept.
+    ``contexts`` tell by length, as numbers from 0, contexts apart that share the next shorter one;
+    ``reach`` is the number of words before a position, ``train`` 1 where it counts. ``hot`` has
+    the symbols and counts of contexts that other buckets share, by what ``named`` gives for a
+    length and positions; ``undecided`` takes what those have to say about them, and with ``stay``
+    they are kept.
     """
     width = len(start)
     chain = start[symbols]  # by all contexts so far, kept or not
     out = chain.copy()
-    levels, above = [], np.zeros(len(symbols), np.int64)
-    alive = np.arange(len(symbols))
+    levels, alive, node, n_nodes = [], np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32), 1
+    named = named or (lambda d, at: contexts[d - 1][at])
     shared = np.array(sorted(hot), np.int64)
-    for d, hashes in enumerate(contexts, 1):
-        alive = alive[reach[alive] >= d]
-        different, node = np.unique(hashes[alive], return_inverse=True)
-        total = np.bincount(node, train[alive], len(different))
-        dealt = np.isin(different, shared)
-        total[dealt] = [hot[c][1].sum() for c in different[dealt].tolist()]
+    for d, words in enumerate(contexts, 1):
+        reaches = reach[alive] >= d
+        alive, node = alive[reaches], node[reaches]
+        if not len(alive):
+            break
+        bound = int(words.max()) + 1
+        order, begins, _ = _grouped(node.astype(np.int64) * bound + words[alive], n_nodes * bound)
+        alive, suffix = alive[order], node[order[begins]]
+        sizes = np.diff(np.append(begins, len(alive)))
+        total = np.add.reduceat(train[alive], begins, dtype=np.int64)
+        names = named(d, alive[begins]) if len(shared) else np.zeros(len(begins), np.int64)
+        dealt = np.isin(names, shared)
+        total[dealt] = [hot[c][1].sum() for c in names[dealt].tolist()]
         enough = total >= least
-        alive, node = alive[enough[node]], (np.cumsum(enough) - 1)[node[enough[node]]]
+        alive = alive[np.repeat(enough, sizes)]
         if not len(alive):
             break
-        different, total, dealt = different[enough], total[enough], dealt[enough]
-        key = node * width + symbols[alive]
-        keys, first, entry = np.unique(key, return_index=True, return_inverse=True)
-        times = np.bincount(entry, train[alive], len(keys))
-        of = keys // width
+        names, total, dealt, suffix, sizes = names[enough], total[enough], dealt[enough], suffix[enough], sizes[enough]
+        n_nodes, ends = len(total), np.cumsum(sizes)
+        node = np.repeat(np.arange(n_nodes, dtype=np.int32), sizes)
+        order, begins, keys = _grouped(node.astype(np.int64) * width + symbols[alive], n_nodes * width)
+        alive = alive[order]
+        del order
+        times = np.add.reduceat(train[alive], begins, dtype=np.int64)
+        of = node[begins]
         for k in np.flatnonzero(dealt).tolist():
             mine = slice(*np.searchsorted(keys, [k * width, (k + 1) * width]))
-            times[mine] = look_up(*hot[int(different[k])], keys[mine] - k * width, 0)
-        kinds = np.bincount(of, times > 0, len(total))
-        kinds[dealt] = [len(hot[c][0]) for c in different[dealt].tolist()]
-        shorter = chain[alive[first]]
+            times[mine] = look_up(*hot[int(names[k])], keys[mine] - k * width, 0)
+        del keys
+        kinds = np.bincount(of, times > 0, n_nodes)
+        kinds[dealt] = [len(hot[c][0]) for c in names[dealt].tolist()]
+        shorter = chain[alive[begins]]
         seen = times > 0
         # divergence of what the context was followed by from its suffix, in nats over all its occurrences
-        gain = np.bincount(of[seen], times[seen] * np.log(times[seen] / total[of[seen]] / shorter[seen]), len(total))
+        gain = np.bincount(of[seen], times[seen] * np.log(times[seen] / total[of[seen]] / shorter[seen]), n_nodes)
         keep = gain > 0.5 * kinds * np.log(np.maximum(total, 2))
-        p = ((times + kinds[of] * shorter) / (total + kinds)[of])[entry]
-        _, head = np.unique(node, return_index=True)
-        for k in np.flatnonzero(dealt).tolist():  # here are not all of its symbols
-            keep[k] = stay or _diverges([int(c[alive[head[k]]]) for c in contexts[:d]], hot, start)
+        p = (times + kinds[of] * shorter) / (total + kinds)[of]
+        del times, seen, shorter
+        times = np.diff(np.append(begins, len(alive))).astype(np.int32)
         open_ = []
-        for k in np.flatnonzero(dealt & ~keep).tolist():
-            there = np.flatnonzero(node == k)
-            open_.append((k, int(different[k]), alive[there], p[there], chain[alive[there]]))
-        levels.append((alive, node, keep, above[alive[head]], p, open_))
-        chain[alive], above[alive] = p, node
+        for k in np.flatnonzero(dealt).tolist():  # here are not all of its symbols
+            there = alive[ends[k] - sizes[k] : ends[k]]
+            keep[k] = stay or _diverges([int(named(j, there[:1])[0]) for j in range(1, d + 1)], hot, start)
+            if not keep[k]:
+                by_place = np.argsort(there)
+                after = np.repeat(p, times)[ends[k] - sizes[k] : ends[k]]
+                open_.append((k, int(names[k]), there[by_place], after[by_place], chain[there[by_place]]))
+        levels.append((alive, times, keep, suffix, of, p, open_))
+        chain[alive] = np.repeat(p, times)
     for (_, _, keep, *_), (_, _, longer, suffix, *_) in zip(levels[-2::-1], levels[:0:-1]):
         keep[suffix[longer]] = True
-    for alive, node, keep, _, p, open_ in levels:
-        out[alive[keep[node]]] = p[keep[node]]
+    for alive, times, keep, _, of, p, open_ in levels:
+        kept = keep[of]
+        out[alive[np.repeat(kept, times)]] = np.repeat(p[kept], times[kept])
         if undecided is not None:
             undecided.kept |= {context for k, context, *_ in open_ if keep[k]}
             undecided.open += [of_context for k, *of_context in open_ if not keep[k]]
@@ -538,7 +618,7 @@ def chances(
 
 
 def _scored(rows: DataFrame, words: Words, limits: Limits, buckets: int) -> DataFrame:
-    """The rows as they came, and for each bucket and chunk the log10 chances of its rows' positions there."""
+    """The rows as they came, and for each task and chunk the log10 chances of its rows' positions there."""
     held = rows.sparkSession.sparkContext.broadcast((words, words.start()))
     names = [c.split()[0] for c in _ROW.split(", ")]
 
@@ -555,44 +635,78 @@ def _scored(rows: DataFrame, words: Words, limits: Limits, buckets: int) -> Data
                 if context is None:
                     blobs.setdefault(number, []).append(blob)
                 else:
-                    hot[context] = tuple(np.frombuffer(blob, "<i8").reshape(2, -1))
+                    raw = np.frombuffer(_opened(blob), np.uint8).reshape(2, -1)
+                    symbol, n = (_unplaned(x, "<i8", len(x) // 8) for x in raw)
+                    hot[context] = np.cumsum(symbol), n
+            del batch, own, rest
+        of_chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        found = []
         for number in sorted(blobs):
-            chunks, contexts, sums = score_bucket(blobs.pop(number), words, start, limits, hot)
-            own = [pa.array(chunks, pa.int64()), pa.array(contexts, pa.int64()), pa.array(sums, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(sums), t) for t in kinds]], names=["chunk", "hot", "sums", *names])
+            for chunk, context, row, sums in score_bucket(blobs.pop(number), words, start, limits, hot):
+                if context is None:
+                    of_chunks.setdefault(chunk, []).append((row, sums))
+                else:
+                    found.append((chunk, context, None if chunk is None else _packed_sums(row, sums)))
+        while of_chunks:
+            chunk, parts = of_chunks.popitem()
+            row, at = np.unique(np.concatenate([r for r, _ in parts]), return_inverse=True)
+            total = np.zeros(len(row), np.int64)
+            np.add.at(total, at, np.concatenate([x for _, x in parts]))
+            found.append((chunk, None, _packed_sums(row, total)))
+        for a in range(0, len(found), 200):
+            own = [pa.array(list(c), t) for c, t in zip(zip(*found[a : a + 200]), (pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), t) for t in kinds]], names=["chunk", "hot", "sums", *names])
 
     kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[c.split()[1]] for c in _ROW.split(", ")]
-    return rows.repartitionById(buckets, "bucket").mapInArrow(run, _SUMS)
+    tasks = -(-buckets // _TOGETHER)
+    return rows.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).mapInArrow(run, _SUMS)
 
 
 def score_bucket(
     blobs: list[bytes], words: Words, start: np.ndarray, limits: Limits, hot: dict,
-) -> tuple[list[int | None], list[int | None], list[bytes | None]]:
-    """Chunks, contexts, and the sums of the chunks' rows' log10 chances, from all positions of a bucket.
+) -> list[tuple[int | None, int | None, np.ndarray | None, np.ndarray | None]]:
+    """(chunk, context, rows, sums): the sums of the rows' log10 chances, from all positions of a bucket.
 
-    Sums beside a context count if it is kept; a context without sums is kept.
+    Sums beside a context count if it is kept; a context without a chunk is kept.
     """
-    chunks, rows, times, train, symbols, older, reach = [], [], [], [], [], [], []
+    # a word of a context is 0 for none, a rank and 1, or from there on a place in ``rare``
+    n_known = len(words.hashes)
+    chunks, rows, times, train, symbols, older, others = [], [], [], [], [], [], []
     while blobs:
-        chunk, (row, n, verdict, known, others, classes, codes) = _unpack(blobs.pop())
+        chunk, (row, n, verdict, known, rare, classes, codes) = _unpack(blobs.pop())
         chunks.append(chunk)
         rows.append(row)
         times.append(n)
         train.append(np.repeat(1 - verdict, n))
-        hashes = np.concatenate([np.zeros(1, np.uint64), shortened(words.hashes[known]), others | np.uint64(1 << 48)])
-        symbol = np.concatenate([np.zeros(1, np.int64), known, np.zeros(len(others), np.int64), len(words.hashes) + classes])
+        numbers = np.concatenate([np.zeros(1, np.int64), known + 1, -1 - sum(map(len, others)) - np.arange(len(rare))]).astype(np.int32)
+        symbol = np.concatenate([np.zeros(1, np.int64), known, np.zeros(len(rare), np.int64), n_known + classes]).astype(np.int32)
         symbols.append(symbol[codes[0]])
-        older.append(hashes[codes[1:]])
-        reach.append((codes[1:] > 0).sum(0).astype(np.int8))
-    contexts = [common.signed(c) for c in context_hashes(list(np.concatenate(older, axis=1)))]
-    del older
-    undecided = Undecided()
-    log = np.log10(chances(np.concatenate(symbols), contexts, np.concatenate(reach), np.concatenate(train), start, limits.least, hot, undecided, limits.stay))
+        older.append(numbers[codes[1:]])
+        others.append(rare)
+    rare, of_rare = np.unique(np.concatenate(others), return_inverse=True)
+    of_rare = (of_rare + n_known + 1).astype(np.int32)
+    older = np.concatenate(older, axis=1)
+    is_rare = older < 0
+    older[is_rare] = of_rare[-1 - older[is_rare]]
+    del is_rare
+    reach = np.count_nonzero(older, axis=0).astype(np.int8)
+
+    def named(d: int, at: np.ndarray) -> np.ndarray:
+        parts = []
+        for w in older[:d, at]:
+            part = np.empty(len(w), np.uint64)
+            part[w <= n_known] = shortened(words.hashes[w[w <= n_known] - 1])
+            part[w > n_known] = rare[w[w > n_known] - n_known - 1] | np.uint64(1 << 48)
+            parts.append(part)
+        return common.signed(context_hashes(parts)[-1])
+
+    undecided, symbols, train = Undecided(), np.concatenate(symbols), np.concatenate(train)
+    log = np.log10(chances(symbols, list(older), reach, train, start, limits.least, hot, undecided, limits.stay, named))
     ends = np.cumsum([int(n.sum()) for n in times])
-    of_chunks, of_contexts, sums = list(chunks), [None] * len(chunks), []
-    for row, n, last in zip(rows, times, ends.tolist()):
+    out = []
+    for chunk, row, n, last in zip(chunks, rows, times, ends.tolist()):
         first = last - int(n.sum())
-        sums.append(_packed_sums(row, np.add.reduceat(log[first:last], np.cumsum(n) - n)))
+        out.append((chunk, None, row, _units(np.add.reduceat(log[first:last], np.cumsum(n) - n))))
     for context, at, after, before in undecided.open:
         more = np.log10(after / before)
         cuts = np.searchsorted(at, ends)  # positions are in order
@@ -600,15 +714,16 @@ def score_bucket(
             if a < b:
                 of = np.searchsorted(np.cumsum(times[k]), at[a:b] - (ends[k] - times[k].sum()), "right")
                 there, at_row = np.unique(of, return_inverse=True)
-                of_chunks.append(chunks[k])
-                of_contexts.append(context)
-                sums.append(_packed_sums(rows[k][there], np.bincount(at_row, more[a:b])))
-    kept = sorted(undecided.kept)
-    return of_chunks + [None] * len(kept), of_contexts + kept, sums + [None] * len(kept)
+                out.append((chunks[k], context, rows[k][there], _units(np.bincount(at_row, more[a:b]))))
+    return out + [(None, context, None, None) for context in sorted(undecided.kept)]
+
+
+def _units(sums: np.ndarray) -> np.ndarray:
+    return np.rint(sums * _UNIT).astype(np.int64)
 
 
 def _packed_sums(rows: np.ndarray, sums: np.ndarray) -> bytes:
-    return _pack([_planes(np.diff(rows, prepend=0).astype("<i8")), _planes(np.rint(sums * _UNIT).astype("<i8"))])
+    return _pack([_planes(np.diff(rows, prepend=0).astype("<i8")), _planes(sums.astype("<i8"))])
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -652,7 +767,7 @@ def score(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     rows = coded(docs, words, routing, limits.depth)
     if routing.goals:
         rows = rows.unionByName(hot_counts(both.filter("hot <> 0"), words, routing), allowMissingColumns=True)
-    rows = scratch.table(_scored(rows, words, limits, routing.buckets), "scored")
+    rows = scratch.table(_scored(rows, words, limits, routing.total), "scored")
     sent = max(1, limits.known * words.total)
     rare = rows.filter("length(rare) > 0").select("row", "rare").mapInArrow(_rare_words, "row long, key long")
     found = rare.join(counts.filter(F.col("n") < sent), "key", "left").groupBy("row").agg(

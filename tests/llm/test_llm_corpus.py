@@ -280,7 +280,7 @@ def after_two(n, seed):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("bucket", [1_000_000, 700, 100, 20])
+@pytest.mark.parametrize("bucket", [1_000_000, 300, 100, 20])
 def test_scores_do_not_depend_on_the_buckets(docs_of, bucket):
     """Contexts that are dealt out are tested as others are, with the longer ones of all buckets."""
     rows = [(k, after_two(50, k)) for k in range(60)] + [(k, "again " * 30) for k in range(60, 70)]
@@ -296,6 +296,21 @@ def test_scores_do_not_depend_on_the_buckets(docs_of, bucket):
         assert [s for _, s in tree_scores(rows, limits, dealt)] != pytest.approx(plain, abs=1e-4)
 
 
+def test_contexts_stay_whole_up_to_two_buckets(docs_of):
+    """Fewer are dealt out and counted beforehand; no bucket holds much more than the largest of them."""
+    rows = [(k, after_two(50, k)) for k in range(60)] + [(k, "again " * 30) for k in range(60, 70)]
+    routing = suffix_tree.learn_routing(suffix_tree.prepared(docs_of(rows)), suffix_tree.Limits(bucket=200))
+    tokens, lengths = suffix_tree.token_hashes([x for _, x in rows], common.WordHashes())
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.flatnonzero(place)
+    pairs = Counter(common.signed(suffix_tree.shortened(tokens[at - 1])).tolist())
+    assert 0 < len(routing.keys[0]) and len(routing.whole[0][0])
+    for hash_, n in pairs.items():
+        assert (hash_ in routing.keys[0]) == (n > 2 * len(at) / routing.buckets)
+    bucket = suffix_tree.route(routing, tokens, place, at, at)
+    assert np.bincount(bucket, minlength=routing.total).max() <= 3 * 200
+
+
 def test_scores_of_odd_rows(odd, docs_of):
     base, _ = scored(odd)
     assert base == base_scores(ODD)
