@@ -98,6 +98,15 @@ def test_context_is_ranked_json_with_nulls(rows):
     assert (answered[8].matches, answered[8].context) == (0, "No matching stored evidence records.")
 
 
+def test_every_bucket_of_contexts_is_a_task(rows, monkeypatch):
+    """Texts are long, so the buckets must not meet in a few tasks."""
+    monkeypatch.setattr(evidence, "BUCKET_HITS", 10)
+    records = built(rows, record(1, title="\u00c9t\u00e9 \u201cflood\u201d"))
+    got = evidence.context(rows([(k, 1, 1) for k in range(400)], "qid int, seq bigint, rank int"), records, ["qid"])
+    assert got.rdd.getNumPartitions() == 40
+    assert {json.loads(r.context)[0]["event"] for r in got.collect()} == {"\u00c9t\u00e9 \u201cflood\u201d"}
+
+
 def test_a_record_that_many_questions_found_moves_once_a_bucket(rows, monkeypatch):
     records = built(rows, record(1), record(2, title="Second"), record(2, title="Also second"))
     hits = rows([(k, 1, 1) for k in range(200)] + [(k, 2, 2) for k in range(0, 200, 2)] + [(None, 1, 1), (500, 9, 1)], "qid int, seq bigint, rank int")
