@@ -1,7 +1,9 @@
 import json
+from pathlib import Path
 
 from aidlens import schemas
 from aidlens.operators import events, evidence
+from aidlens.session import written
 from aidlens.sources import evidence_store
 from samples import EVIDENCE_COLUMNS, record
 
@@ -122,6 +124,39 @@ def test_a_record_that_many_questions_found_moves_once_a_bucket(rows, monkeypatc
     assert sorted((r.x, r.matches or 0) for r in rest) == [("a", 3), ("a", 3), ("b", 0), ("c", 0), ("d", 0)]
 
 
+def test_texts_of_found_records_are_read_and_not_moved_to_the_rows(spark, rows, monkeypatch):
+    """Chunks and batches of one text each; a shuffle has the rows alone, and a record is kept once for all buckets."""
+    for name in ("BUCKET_HITS", "CHUNK_BYTES", "GIVEN_BYTES"):
+        monkeypatch.setattr(evidence, name, 1 if name != "BUCKET_HITS" else 7)
+    records = built(rows, *[record(i, title=f"t{i}", summary=f"\u00e9 {i} " * 50) for i in range(30)], record(3, title="s3"), record(99))
+    hits = rows([(q, (q * k) % 31, k) for q in range(40) for k in (1, 2, 3)], "qid int, seq bigint, rank int")
+    asked = rows([(q, f"x{q}") for q in range(45)] * 2, "qid int, x string")
+    found = evidence.with_context(asked, hits, records, ["qid"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan
+    titles = {i: [f"t{i}"] for i in range(30)} | {3: ["s3", "t3"], 30: []}
+    wanted = {q: [t for k in (1, 2, 3) for t in titles[q * k % 31]] for q in range(40)}
+    got = found.collect()
+    assert len(got) == 90 and all(r.x == f"x{r.qid}" for r in got)
+    assert all([e["event"] for e in json.loads(r.context or "[]")] == wanted.get(r.qid, []) and (r.matches or 0) == len(wanted.get(r.qid, [])) for r in got)
+    chunks = spark.read.parquet(max(Path(evidence.shared_folder(spark)).glob("contexts-*/texts"), key=lambda p: p.stat().st_mtime).as_posix())
+    assert sorted(int(r.seq) for r in chunks.selectExpr("inline(chunk)").collect()) == list(range(30))
+
+
+def test_rows_without_any_hit_stay(rows):
+    none = rows([], "qid int, seq bigint, rank int")
+    got = evidence.with_context(rows([(1,), (None,)], "qid int"), none, built(rows, record(1)), ["qid"])
+    assert sorted((r.qid or 0, r.context, r.matches) for r in got.collect()) == [(0, None, None), (1, None, None)]
+    assert evidence.context(none, built(rows, record(1)), ["qid"]).count() == 0
+
+
+def test_a_tidy_write_leaves_the_settings_as_they_were(spark, rows, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    table = written(rows([(1,), (2,), (2,)], "k int").distinct(), str(tmp_path / "t"), tidy=True)
+    assert sorted(r.k for r in table.collect()) == [1, 2] and spark.conf.get(key) == before
+
+
 def full(**changes):
     base = {name: name[0] for name in schemas.EVIDENCE_REQUIRED}
     return base | changes
