@@ -125,9 +125,9 @@ def test_a_record_that_many_questions_found_moves_once_a_bucket(rows, monkeypatc
 
 
 def test_texts_of_found_records_are_read_and_not_moved_to_the_rows(spark, rows, monkeypatch):
-    """Chunks and batches of one text each; a shuffle has the rows alone, and a record is kept once for all buckets."""
-    for name in ("BUCKET_HITS", "CHUNK_BYTES", "GIVEN_BYTES"):
-        monkeypatch.setattr(evidence, name, 1 if name != "BUCKET_HITS" else 7)
+    """Small pieces and batches of one row; a shuffle has the rows alone, and a record is kept once for all buckets."""
+    for name, value in (("BUCKET_HITS", 7), ("PIECE_BYTES", 50), ("GIVEN_BYTES", 1)):
+        monkeypatch.setattr(evidence, name, value)
     records = built(rows, *[record(i, title=f"t{i}", summary=f"\u00e9 {i} " * 50) for i in range(30)], record(3, title="s3"), record(99))
     hits = rows([(q, (q * k) % 31, k) for q in range(40) for k in (1, 2, 3)], "qid int, seq bigint, rank int")
     asked = rows([(q, f"x{q}") for q in range(45)] * 2, "qid int, x string")
@@ -139,8 +139,8 @@ def test_texts_of_found_records_are_read_and_not_moved_to_the_rows(spark, rows,
     got = found.collect()
     assert len(got) == 90 and all(r.x == f"x{r.qid}" for r in got)
     assert all([e["event"] for e in json.loads(r.context or "[]")] == wanted.get(r.qid, []) and (r.matches or 0) == len(wanted.get(r.qid, [])) for r in got)
-    chunks = spark.read.parquet(max(Path(evidence.shared_folder(spark)).glob("contexts-*/texts"), key=lambda p: p.stat().st_mtime).as_posix())
-    assert sorted(int(r.seq) for r in chunks.selectExpr("inline(chunk)").collect()) == list(range(30))
+    pieces = spark.read.parquet(max(Path(evidence.shared_folder(spark)).glob("contexts-*/texts"), key=lambda p: p.stat().st_mtime).as_posix())
+    assert sorted(int(r.seq) for r in pieces.filter("piece = 0").collect()) == list(range(30)) and pieces.count() > 60
 
 
 def test_rows_without_any_hit_stay(rows):
